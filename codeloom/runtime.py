@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.adaptive.enabled": "true",
     }
