@@ -49,7 +49,8 @@ def repeated_words(tokens: Column, n: int = 8) -> Column:
     """
 
     def marked(codes: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(codes) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(codes, i, n)))
+        ahead = F.transform(codes, lambda c, i: F.xxhash64(*[F.get(codes, i + k) for k in range(n)]))
+        runs = F.slice(ahead, 1, F.greatest(F.size(codes) - n + 1, F.lit(0)))
         return F.when(F.size(codes) > n, let(runs, lambda r: F.when(F.size(F.array_distinct(r)) < F.size(r), spans(r)).otherwise(0))).otherwise(0)
 
     def spans(runs: Column) -> Column:
