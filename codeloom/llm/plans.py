@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import leakage, near_duplicates, repetition, tokenization
+from codeloom.llm import leakage, near_duplicates, repetition, syntax, tokenization
 from codeloom.runtime import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.broken_paths(table(spark, sf_dir, "files"))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.fault_rates(table(spark, sf_dir, "files"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "bodies"), "sym_seq", "exact")
     return pairs.select(F.col("a").alias("sym_a"), F.col("b").alias("sym_b"))
@@ -40,6 +48,8 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
