@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import leakage, near_duplicates, repetition, syntax, tokenization
+from codeloom.llm import credentials, leakage, near_duplicates, repetition, syntax, tokenization
 from codeloom.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credentials(table(spark, sf_dir, "files"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redacted(table(spark, sf_dir, "files").select("file_seq", "path", "text"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.broken_paths(table(spark, sf_dir, "files"))
 
@@ -48,6 +56,8 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
     "p7_found": p7_found,
