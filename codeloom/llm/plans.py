@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import credentials, leakage, near_duplicates, repetition, syntax, tokenization
+from codeloom.llm import credentials, function_docs, leakage, near_duplicates, repetition, syntax, tokenization
 from codeloom.runtime import table
 
 
@@ -25,6 +25,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.fault_rates(table(spark, sf_dir, "files"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return function_docs.function_pairs(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files")).select("sym_seq")
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return function_docs.function_pairs(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"), code=True)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "bodies"), "sym_seq", "exact")
     return pairs.select(F.col("a").alias("sym_a"), F.col("b").alias("sym_b"))
@@ -60,6 +68,8 @@ QUERIES = {
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
