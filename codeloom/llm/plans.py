@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import credentials, function_docs, leakage, near_duplicates, repetition, syntax, tokenization
+from codeloom.llm import credentials, function_docs, generated, leakage, near_duplicates, repetition, syntax, tokenization
 from codeloom.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.not_hand_written(table(spark, sf_dir, "files")).select("path").distinct()
+
+
+def p2_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.hand_written(table(spark, sf_dir, "files")).select("path", "root", "language", "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credentials(table(spark, sf_dir, "files"))
 
@@ -64,6 +72,8 @@ def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_hand_written": p2_hand_written,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
