@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.runtime import checkpoint
+from codeloom.runtime import checkpoint, checkpoint_counting
 
 #: Siblings are numbered in this many blocks, and the blocks then among one another.
 SIBLING_BLOCKS = 256
@@ -32,58 +32,53 @@ def _clean_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return links.join(known.withColumnRenamed("node", "up"), ["tree", "up"], "left_semi").select("tree", "node", "up")
 
 
-def _double(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _double(step: DataFrame) -> tuple[DataFrame, int, int]:
     """Subtree size, depth and root of each node by pointer doubling.
 
-    step: (tree, node, up), one row a node, up null at a root. Returns the finished nodes
-    (tree, node, up, size, depth, root) and the nodes that no round finishes (tree, node, up).
+    step: (tree, node, up), one row a node, up null at a root. Returns the nodes with jump null where
+    they are finished (tree, node, up, jump, size, depth, root), how many no round finishes, and the
+    number of rounds.
     """
+    is_open = F.col("jump").isNotNull()
     state = step.select("tree", "node", "up", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("up").isNull(), F.col("node")).alias("root"))
-    state = checkpoint(state)
-    open_before = -1
-    while True:
-        still_open = state.filter(F.col("jump").isNotNull()).count()
-        # A round halves the open depth of every chain that ends: equal counts mean only cycles are left.
-        if still_open in (0, open_before):
-            break
-        open_before = still_open
-        below = state.filter(F.col("jump").isNotNull()).groupBy("tree", F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
+    state, still_open = checkpoint_counting(state, is_open)
+    open_before, rounds = -1, 0
+    # A round halves the open depth of every chain that ends: equal counts mean only cycles are left.
+    while still_open not in (0, open_before):
+        open_before, rounds = still_open, rounds + 1
+        below = state.filter(is_open).groupBy("tree", F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
         ahead = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
         state = (
             state.join(ahead, ["tree", "jump"], "left")
             .join(below, ["tree", "node"], "left")
             .select("tree", "node", "up", F.col("jump2").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root"))
         )
-        state = checkpoint(state)
-    done = state.filter(F.col("jump").isNull()).drop("jump")
-    return done, state.filter(F.col("jump").isNotNull()).select("tree", "node", "up", "jump")
+        state, still_open = checkpoint_counting(state, is_open)
+    return state, still_open, rounds
 
 
 def _cut_cycles(open_nodes: DataFrame) -> DataFrame:
     """The nodes (tree, node) whose link to ``up`` is set aside: the least node of each cycle.
 
-    open_nodes: nodes on or below cycles, with one upper each. The image under ever larger jumps
-    shrinks to the nodes on cycles; there the least name goes round by doubling.
+    open_nodes: nodes on or below cycles, with one upper each and a jump that outruns other chains. The
+    image under ever larger jumps shrinks to the nodes on cycles; there the least name goes round by
+    doubling.
     """
-    state = checkpoint(open_nodes.select("tree", "node", "jump"))
-    image, size = state.select("tree", F.col("jump").alias("node")).distinct(), -1
+    state, size = open_nodes.select("tree", "node", "jump"), -1
     while True:
-        image = checkpoint(image)
-        now = image.count()
+        image, now = checkpoint_counting(state.select("tree", F.col("jump").alias("node")).distinct())
         if now == size:
             break
         size = now
         ahead = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("jump2"))
         state = checkpoint(state.join(ahead, ["tree", "jump"]).select("tree", "node", F.col("jump2").alias("jump")))
-        image = state.select("tree", F.col("jump").alias("node")).distinct()
-    ring = checkpoint(open_nodes.join(image, ["tree", "node"], "left_semi").select("tree", "node", F.col("up").alias("jump"), F.least("node", "up").alias("least")))
-    while True:
+    ring = open_nodes.join(image, ["tree", "node"], "left_semi").select("tree", "node", F.col("up").alias("jump"), F.least("node", "up").alias("least"))
+    moved = 1
+    while moved:
         ahead = ring.select("tree", F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("least").alias("least2"))
-        after = checkpoint(ring.join(ahead, ["tree", "jump"]).select("tree", "node", F.col("jump2").alias("jump"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")))
-        moved = after.filter("moved").count()
-        ring = after.drop("moved")
-        if not moved:
-            break
+        after = ring.join(ahead, ["tree", "jump"]).select("tree", "node", F.col("jump2").alias("jump"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved"))
+        ring, moved = checkpoint_counting(after, F.col("moved"))
+        ring = ring.drop("moved")
     return ring.filter(F.col("node") == F.col("least")).select("tree", "node")
 
 
@@ -107,21 +102,24 @@ def nested_sets(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     links = checkpoint(_clean_edges(nodes, edges))
     first = links.filter("node <> up").groupBy("tree", "node").agg(F.min("up").alias("up"))
     step = nodes.select("tree", "node").dropna().distinct().join(first, ["tree", "node"], "left")
-    done, stuck = _double(step)
-    if not stuck.isEmpty():
-        cut = _cut_cycles(stuck)
-        again = stuck.select("tree", "node", "up").join(cut.withColumn("cut", F.lit(True)), ["tree", "node"], "left")
-        more, _ = _double(again.select("tree", "node", F.when(F.col("cut").isNull(), F.col("up")).alias("up")))
-        done = done.unionByName(more)
+    state, stuck, rounds = _double(step)
+    done = state.filter(F.col("jump").isNull()).drop("jump")
+    if stuck:
+        open_nodes = state.filter(F.col("jump").isNotNull()).select("tree", "node", "up", "jump")
+        cut = _cut_cycles(open_nodes).withColumn("cut", F.lit(True))
+        again = open_nodes.join(cut, ["tree", "node"], "left").select("tree", "node", F.when(F.col("cut").isNull(), F.col("up")).alias("up"))
+        more, _, more_rounds = _double(again)
+        done, rounds = done.unionByName(more.drop("jump")), max(rounds, more_rounds)
     forest = done.join(_sibling_offsets(done), ["tree", "node"], "left").withColumn("pre", F.coalesce("offset", F.lit(0))).drop("offset")
     forest = checkpoint(forest.withColumn("jump", F.col("up")))
-    while not forest.filter(F.col("jump").isNotNull()).isEmpty():
+    # The sizes took this many rounds, so the offsets take no more.
+    for _ in range(rounds):
         ahead = forest.select("tree", F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("pre").alias("pre2"))
         forest = forest.join(ahead, ["tree", "jump"], "left").select("tree", "node", "up", "root", "depth", "size", (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"), F.col("jump2").alias("jump"))
         forest = checkpoint(forest)
     forest = forest.select("tree", "node", "up", "root", "depth", "pre", "size")
-    aside = checkpoint(links.join(forest.select("tree", "node", "up").dropna(), ["tree", "node", "up"], "left_anti"))
-    return forest, aside
+    aside = links.join(forest.select("tree", "node", "up").dropna(), ["tree", "node", "up"], "left_anti")
+    return forest, checkpoint(aside)
 
 
 def forest_pairs(forest: DataFrame) -> DataFrame:
@@ -170,19 +168,15 @@ def _close(forest: DataFrame, aside: DataFrame) -> DataFrame:
     upward = pairs.unionByName(own)
     beyond = checkpoint(upward.join(aside.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_semi"))
     tails = aside.select("tree", F.col("node").alias("tail"), F.col("up").alias("via"))
-    found = None
-    fresh = upward.join(tails.select("tree", F.col("tail").alias("above")).distinct(), ["tree", "above"], "left_semi")
+    found, fresh = None, upward.join(tails.select("tree", F.col("tail").alias("above")).distinct(), ["tree", "above"], "left_semi")
     while True:
         met = fresh.join(tails, (fresh["tree"] == tails["tree"]) & (fresh["above"] == tails["tail"])).select(fresh["tree"], "node", "via").distinct()
         met = met.join(beyond.select("tree", F.col("node").alias("via"), "above"), ["tree", "via"]).select("tree", "node", "above").distinct()
-        met = met.join(pairs, ["tree", "node", "above"], "left_anti")
-        if found is not None:
-            met = met.join(found, ["tree", "node", "above"], "left_anti")
-        met = checkpoint(met)
-        if met.isEmpty():
+        met = met.join(pairs if found is None else pairs.unionByName(found), ["tree", "node", "above"], "left_anti")
+        fresh, n = checkpoint_counting(met)
+        if not n:
             break
-        found = met if found is None else checkpoint(found.unionByName(met))
-        fresh = met
+        found = fresh if found is None else found.unionByName(fresh)
     return pairs if found is None else pairs.unionByName(found)
 
 

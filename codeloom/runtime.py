@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its size, known before the join, is at most this many rows.
@@ -47,6 +47,14 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def checkpoint_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """A checkpoint, and how many of its rows meet the condition, counted as they are written."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if condition is None else F.count(F.when(condition, F.lit(1)))
+    done = checkpoint(df.observe(seen, counted.alias("n")))
+    return done, int(seen.get["n"])
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` uses it many times but it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
