@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.components import components
 from codeloom.runtime import checkpoint
 
 ROWS, BANDS, WORDS = 4, 48, 3
@@ -110,26 +111,6 @@ def _with_copies(pairs: DataFrame, member: DataFrame) -> DataFrame:
     return wide.unionByName(twins).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "union")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the undirected links (a, b): the least node reachable, by alternating large-star and small-star.
-
-    Each star links a node's neighbours to its least one; the links of a node are aggregated, never
-    gathered, so a node with very many links stays spread.
-    """
-    links = checkpoint(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        after = checkpoint(small)
-        if after.count() == links.count() and after.join(links, ["a", "b"], "left_anti").isEmpty():
-            break
-        links = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b")).distinct()
-
-
 def classes(sets: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """(key, component, links): every key with its group, its own if it is in no pair, and its number of links."""
     ends = pairs.select(F.col("a").alias(key)).union(pairs.select("b"))
