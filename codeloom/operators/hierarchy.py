@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.runtime import checkpoint, checkpoint_counting
+from codeloom.runtime import checkpoint, checkpoint_counting, release
 
 #: Siblings are numbered in this many blocks, and the blocks then among one another.
 SIBLING_BLOCKS = 256
@@ -45,7 +45,7 @@ def _double(step: DataFrame) -> tuple[DataFrame, int, int]:
     open_before, rounds = -1, 0
     # A round halves the open depth of every chain that ends: equal counts mean only cycles are left.
     while still_open not in (0, open_before):
-        open_before, rounds = still_open, rounds + 1
+        open_before, rounds, read = still_open, rounds + 1, state
         below = state.filter(is_open).groupBy("tree", F.col("jump").alias("node")).agg(F.sum("size").alias("more"))
         ahead = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
         state = (
@@ -53,7 +53,8 @@ def _double(step: DataFrame) -> tuple[DataFrame, int, int]:
             .join(below, ["tree", "node"], "left")
             .select("tree", "node", "up", F.col("jump2").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root"))
         )
-        state, still_open = checkpoint_counting(state, is_open)
+        last, (state, still_open) = read, checkpoint_counting(state, is_open)
+        release(last)
     return state, still_open, rounds
 
 
@@ -114,9 +115,11 @@ def nested_sets(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     forest = checkpoint(forest.withColumn("jump", F.col("up")))
     # The sizes took this many rounds, so the offsets take no more.
     for _ in range(rounds):
+        before = forest
         ahead = forest.select("tree", F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("pre").alias("pre2"))
         forest = forest.join(ahead, ["tree", "jump"], "left").select("tree", "node", "up", "root", "depth", "size", (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"), F.col("jump2").alias("jump"))
-        forest = checkpoint(forest)
+        read, forest = before, checkpoint(forest)
+        release(read)
     forest = forest.select("tree", "node", "up", "root", "depth", "pre", "size")
     aside = links.join(forest.select("tree", "node", "up").dropna(), ["tree", "node", "up"], "left_anti")
     return forest, checkpoint(aside)

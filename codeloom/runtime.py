@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +36,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage in the folder that all executors share.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's, or, only where none is set, one of this machine."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    return f"{named or os.path.join(tempfile.gettempdir(), 'codeloom-checkpoints')}/codeloom-{spark.sparkContext.applicationId}"
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this machine is used.
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the folder that all executors share.
+
+    A written table is read with its true size. RDD checkpoints keep the size estimate of the plan they cut, and over a few
+    rounds of joins that estimate, a product of products, outgrows the driver's memory. The tables go when the process ends,
+    or by ``release`` before.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "codeloom-checkpoints")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    spark = df.sparkSession
+    folder = _shared_folder(spark)
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done._codeloom_table = path
+    return done
+
+
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone, and the folder with it
+        pass
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables written by ``checkpoint`` from which nothing more will be read."""
+    for df in tables:
+        if path := getattr(df, "_codeloom_table", None):
+            _remove(df.sparkSession, path)
 
 
 def checkpoint_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
