@@ -230,7 +230,8 @@ def related(symbols: DataFrame, query: str, limit: int = 10, test_paths: DataFra
     )
     wide_array = F.array(*[F.lit(w) for w in wide]) if wide else F.array().cast("array<string>")
     rows = rows.filter(F.arrays_overlap("nk", wide_array) | F.arrays_overlap("dk", wide_array))
-    hit = rows.select(key, F.explode(F.concat(*[F.transform(F.array_intersect(c, wide_array), lambda t, p=p: F.struct(t.alias("term"), F.lit(p).alias("part"))) for c, p in (("nk", "name"), ("dk", "doc"), ("fk", "file"))])).alias("h")).select(key, "h.term", "h.part")
+    part_of = lambda column, part: F.transform(F.array_intersect(column, wide_array), lambda t: F.struct(t.alias("term"), F.lit(part).alias("part")))
+    hit = rows.select(key, F.explode(F.concat(part_of("nk", "name"), part_of("dk", "doc"), part_of("fk", "file"))).alias("h")).select(key, "h.term", "h.part")
     gain = F.when(F.col("part") == "name", F.when(F.col("asked"), 3.0).otherwise(2.0)).when(F.col("part") == "doc", 1.0).otherwise(0.5)
     sums = hit.join(F.broadcast(weights), "term").groupBy(key).agg(F.sum(gain * F.col("w")).alias("s"), F.count(F.when(F.col("part") == "name", 1)).alias("hits"))
     score = F.col("s") + F.when(F.size("nk") > 0, 2.0 * F.col("hits") / F.size("nk")).otherwise(0.0) + F.when(F.col("kind").isin("function", "method", "class"), 0.5).otherwise(0.0)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codeloom.plans import records
+from codeloom.plans import records, reference
 
-FLAGSHIP = "p6_found"
-QUERIES = {**records.QUERIES}
-ORACLES = {**records.ORACLES}
+FLAGSHIP = "fun01_02_classify"
+QUERIES = {**records.QUERIES, **reference.QUERIES}
+ORACLES = {**records.ORACLES, **reference.ORACLES}
