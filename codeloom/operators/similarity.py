@@ -27,19 +27,21 @@ def _prefix(n: Column, numerator: int, denominator: int) -> Column:
 
 
 def jaccard_candidates(sets: DataFrame, key: str, values: str, ratio: tuple[int, int]) -> DataFrame:
-    rows = checkpoint(_ranked(sets, key, values).filter(F.col("at") <= _prefix(F.col("n"), *ratio)).select("k", "v", "n"))
-    a, b = rows.select("v", F.col("k").alias("a"), F.col("n").alias("na")), rows.select("v", F.col("k").alias("b"), F.col("n").alias("nb"))
+    """Pairs that meet in a rare value early enough: at their first common value, what is left of both must still hold the overlap."""
+    rows = checkpoint(_ranked(sets, key, values).filter(F.col("at") <= _prefix(F.col("n"), *ratio)).select("k", "v", "n", "at"))
+    a, b = rows.select("v", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa")), rows.select("v", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     close = (F.col("na") * ratio[1] >= F.col("nb") * ratio[0]) & (F.col("nb") * ratio[1] >= F.col("na") * ratio[0])
-    return a.join(b, "v").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    enough = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) * (ratio[0] + ratio[1]) >= (F.col("na") + F.col("nb")) * ratio[0]
+    return a.join(b, "v").filter((F.col("a") < F.col("b")) & close & enough).select("a", "b").distinct()
 
 
 def containment_candidates(sets: DataFrame, key: str, values: str, ratio: tuple[int, int]) -> DataFrame:
     """Pairs in which a rare value of the smaller set stands anywhere in the larger one."""
     rows = checkpoint(_ranked(sets, key, values).select("k", "v", "n", "at"))
-    small = rows.filter(F.col("at") <= _prefix(F.col("n"), *ratio)).select("v", F.col("k").alias("s"), F.col("n").alias("ns"))
+    small = rows.filter(F.col("at") <= _prefix(F.col("n"), *ratio)).select("v", F.col("k").alias("s"), F.col("n").alias("ns"), F.col("at").alias("ps"))
     large = rows.select("v", F.col("k").alias("l"), F.col("n").alias("nl"))
     met = small.join(large, "v").filter((F.col("s") != F.col("l")) & (F.col("ns") <= F.col("nl")))
-    return met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    return met.filter((F.col("ns") - F.col("ps") + 1) * ratio[1] >= F.col("ns") * ratio[0]).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
 
 
 def similar_pairs(bodies: DataFrame, key: str = "sym_seq", targets: DataFrame | None = None) -> DataFrame:
