@@ -108,7 +108,7 @@ def _with_copies(pairs: DataFrame, member: DataFrame) -> DataFrame:
     left, right = member.select(F.col("rep").alias("a"), F.col("key").alias("ma")), member.select(F.col("rep").alias("b"), F.col("key").alias("mb"))
     wide = pairs.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"), "overlap", "union")
     twins = member.select("rep", F.col("key").alias("x"), F.col("size").cast("long").alias("overlap")).join(member.select("rep", F.col("key").alias("y")), "rep").filter("x < y").select("x", "y", "overlap", F.col("overlap").alias("union"))
-    return wide.unionByName(twins).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "union")
+    return wide.unionByName(twins).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "union").distinct()
 
 
 def classes(sets: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

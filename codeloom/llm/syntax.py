@@ -103,7 +103,7 @@ def script_fault(text: str, typed: bool) -> str | None:
                     return "value without operator"
                 if state == BODY and not typed:
                     return "missing body"
-                if state == OP and token in ("in", "instanceof", "extends", "implements", "else", "catch", "finally", "case", "default", "break", "continue", "return", "throw", "try", "if", "for", "while", "do", "switch", "var", "const", "import", "export"):
+                if state == OP and not (typed and last == ":" and frame[1] == "block") and token in ("in", "instanceof", "extends", "implements", "else", "catch", "finally", "case", "default", "break", "continue", "return", "throw", "try", "if", "for", "while", "do", "switch", "var", "const", "import", "export"):
                     if token not in ("import",) or text[at : at + 1] not in "(.":
                         return "operator without value"
                 if token == "import" and state in (START, END) or token == "import" and state == VALUE and newline:
@@ -443,6 +443,8 @@ def python_suspect(text: str) -> str | None:
             state, last = VALUE, "''" if kind == "str" else token
             continue
         if token in OPEN:
+            if last in ("def", "class"):
+                return "operator without value"
             stack.append(token)
             state, last = START, token
             continue
