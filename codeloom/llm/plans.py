@@ -89,4 +89,22 @@ QUERIES = {
     "p10_measures": p10_measures,
 }
 
-ORACLES: dict[str, str] = {}
+_CLEAN = "lower(regexp_replace(text, '[\\x{200B}\\x{200C}\\x{200D}\\x{AD}\\x{FEFF}]', '', 'g'))"
+_WORDS = f"regexp_extract_all({_CLEAN}, '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = "unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')))"
+
+ORACLES: dict[str, str] = {
+    "p7_found": """
+WITH b AS (SELECT DISTINCT ON (sym_seq) sym_seq, list_distinct(exact) AS e FROM bodies), x AS (SELECT sym_seq, unnest(e) AS v FROM b),
+o AS (SELECT p.sym_seq AS sym_a, q.sym_seq AS sym_b, count(*) AS n FROM x p JOIN x q ON p.v = q.v AND p.sym_seq < q.sym_seq GROUP BY ALL)
+SELECT sym_a, sym_b FROM o JOIN b p ON p.sym_seq = sym_a JOIN b q ON q.sym_seq = sym_b WHERE n * 10 >= (len(p.e) + len(q.e) - n) * 7""",
+    "p9_found": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+g AS (SELECT DISTINCT doc_id, {_RUNS} AS g FROM d WHERE len(w) >= 13), h AS (SELECT DISTINCT item_id, {_RUNS} AS g FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)""",
+    "p10_found": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_CLEAN}, '\\p{{L}}+') AS w FROM documents), n AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 50),
+g AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS first FROM n),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS c FROM g, range(0, 8) t(k) WHERE i > first GROUP BY doc_id)
+SELECT doc_id FROM d JOIN c USING (doc_id) WHERE len(w) >= 50 AND c * 3 >= len(w)""",
+}
