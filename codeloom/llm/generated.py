@@ -3,9 +3,9 @@
 The method: a Re-Pair grammar is inferred for the tokens of each file. Where rules are reused so much
 that the grammar is a fraction of the text, the file is generated; a notice of a generator lowers the
 bar, for short files have short grammars either way. Long literals whose own grammar hardly saves
-anything make a data blob; code almost without white space is minified. Vendored files carry a foreign
-notice or lie where copies are kept; and phrases that such files share across repositories give away
-the copies that carry neither.
+anything make a data blob. Two of three marks make a minified file: crowded lines over the whole file,
+names of one letter, and almost no white space. Vendored files carry a foreign notice or lie where copies
+are kept; and phrases that such files share across repositories give away the copies that carry neither.
 
 Defined results: files without text or of other languages are left out; empty files are hand-written;
 the stated kind and reason are not believed; repeated rows count once; further columns are not looked at.
@@ -13,6 +13,7 @@ the stated kind and reason are not believed; repeated rows count once; further c
 
 from __future__ import annotations
 
+import keyword
 import re
 from collections.abc import Iterator
 
@@ -29,13 +30,17 @@ from codeloom.runtime import checkpoint
 REUSE, REUSE_WITH_NOTICE = 0.62, 0.78
 #: Share of characters in incompressible literals that makes a blob; least saving of such a literal.
 BLOB_SHARE, INCOMPRESSIBLE = 0.6, 0.55
-#: White space below this share of the characters, over at least so many tokens, is minified.
+#: Marks of minified code, over at least so many tokens: white space below this share of the characters;
 SPACE_SHARE, LEAST_TOKENS = 0.075, 60
+#: so many characters or statements a line that is not blank; names of one letter.
+LINE_CHARS, LINE_STATEMENTS, LETTER_SHARE = 150, 2.0, 0.5
 #: Share of a file's phrases that also stand in vendored files of two repositories or more.
 SHARED = 0.6
 
 #: Words and line ends; all numbers are one symbol, and marks stand between words anyway.
 _TOKEN = re.compile(r"\d[\w.]*|([^\W\d]+|\n)")
+_NAME = re.compile(r"[^\W\d][\w$]*")
+_RESERVED = frozenset((*keyword.kwlist, *"case catch const default delete do export extends function in instanceof let new null return super switch this throw true false typeof undefined var void while".split()))
 _PACKED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{48,}+")
 _LISTED = re.compile(r"(?:0x[0-9a-fA-F]+,?\s*){16,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?<![\w.])(?:-?\d+(?:\.\d+)?,\s*){24,}")
 _VALUE = re.compile(r"0x[0-9a-fA-F]+|\\x..|-?\d+(?:\.\d+)?")
@@ -74,6 +79,17 @@ def looks_copied(path: str, root: str | None, head: list[str]) -> bool:
     return bool(_COPIED.search(words)) and not re.search(r"(?i)\bcontributors\b", words)
 
 
+def looks_minified(text: str) -> bool:
+    """Whether two marks of minified code hold; either line-wrapping or long names or some spaces leave two."""
+    lines = sum(1 for row in text.split("\n") if row.strip())
+    crowded = len(text) >= LINE_CHARS * lines or text.count(";") >= LINE_STATEMENTS * lines
+    bare = len(text) - len("".join(text.split())) < SPACE_SHARE * len(text)
+    if crowded == bare:
+        return crowded
+    names = [n for n in _NAME.findall(text) if n not in _RESERVED]
+    return sum(len(n) == 1 for n in names) >= LETTER_SHARE * max(len(names), 1)
+
+
 def judge(paths: list[str], roots: list[str | None], texts: list[str]) -> tuple[list[str | None], list[bool], list[np.ndarray]]:
     """Of each file: what it is (or None), whether it looks copied, and the hashes of its phrases."""
     tokens = [np.fromiter(map(hash, _TOKEN.findall(t)), np.int64) for t in texts]
@@ -91,7 +107,7 @@ def judge(paths: list[str], roots: list[str | None], texts: list[str]) -> tuple[
             verdict = "generated"
         elif literal[i] >= BLOB_SHARE:
             verdict = "blob"
-        elif sizes[i] >= LEAST_TOKENS and len(text) - len("".join(text.split())) < SPACE_SHARE * len(text):
+        elif sizes[i] >= LEAST_TOKENS and looks_minified(text):
             verdict = "minified"
         elif marked:
             verdict = "vendored"

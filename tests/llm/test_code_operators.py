@@ -1,4 +1,5 @@
 import ast
+import os
 import random
 
 import pytest
@@ -119,6 +120,37 @@ def test_files_not_written_by_hand(spark):
     assert generated.not_hand_written(files.limit(0)).count() == 0
 
 
+def _bundle(seed: int, size: int) -> str:
+    """A Python bundle of one-letter names, the spaces that its keywords need included."""
+    rng = random.Random(seed)
+    a = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    shapes = (lambda: f"{a()}=[{(k := a())} for {k} in range({rng.randrange(9, 99)})]", lambda: f"{a()}=lambda {(k := a())}:{k}*{rng.randrange(2, 9)}+{a()}", lambda: f"{a()}={{'{rng.choice(['menu', 'slot', 'client', 'window'])}':{a()}}}", lambda: f"{a()}=({a()})if({a()})else{{}}", lambda: f"{a()}={a()}+{rng.randrange(9, 99)}")
+    return "\n".join(";".join(rng.choice(shapes)() for _ in range(size)) for _ in range(3)) + "\n"
+
+
+def test_minified_by_lines_and_names_and_not_by_white_space_alone():
+    # In the shape of row_leaf_1p8.js and record_gateway_21d.js: hand-written, one long hyphenated literal.
+    hand = ["import { seekLedger as verifyLinearParserFn } from './cunbrom';\n" + f"roundQuietLimit('{'-'.join(['budget', 'tensor', 'client', 'path', 'region', 'prefix'] * n)}');\n" + "\n".join(f"export const mergeField{w} = sortLedgerRows(verifyLinearParserFn, fetchRow{w});" for w in ("Alpha", "Beta", "Gamma", "Delta", "Omega", "Sigma", "Kappa", "Theta", "Lambda", "Epsilon", "Iota", "Zeta")) + "\n" for n in (6, 9)]
+    bundles = [_bundle(s, 16) for s in range(60)]
+    share = lambda x: sum(map(str.isspace, x)) / len(x)
+    bundles = [x for x in bundles if share(x) >= generated.SPACE_SHARE]
+    assert len(bundles) >= 4
+    verdicts = generated.judge([f"r/{i}.py" for i in range(len(bundles))], [None] * len(bundles), bundles)[0]
+    assert verdicts == ["minified"] * len(bundles) and not any(map(generated.looks_minified, hand)) and share(hand[1]) < generated.SPACE_SHARE
+    # Long names packed on one line, and one-letter names wrapped at 80 columns without a semicolon, are minified too.
+    assert generated.looks_minified("".join(f"alphabeta.gammadelta=omega(sigma{i});" for i in range(40))) and generated.looks_minified("\n".join("a(b,c),d(e,f)?g(h):i[j],k.l(m,n),o=p(q)" for _ in range(30)))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/files.parquet"), reason="needs the sf0.1 tables")
+def test_minified_python_on_both_sides_of_the_white_space_bound():
+    import pyarrow.parquet as pq
+
+    want = {"labs/velvetine/static/tag_hit_30z.prod.py": "minified", "services/harbourq/static/entry_vector_2w4-bundle.py": "minified", "services/kilnhouse/static/alarm_memory_ht.py": "minified", "services/kilnhouse/web/public/account_cursor_1w3.prod.py": "minified", "apps/fernpost/api/row_leaf_1p8.js": None, "apps/graincounter/io/readers/record_gateway_21d.js": None}
+    texts = {r["path"]: r["text"] for r in pq.read_table("/root/testdata/sf0.1/files.parquet", columns=["path", "text"]).to_pylist() if r["path"] in want}
+    paths = sorted(texts)
+    assert dict(zip(paths, generated.judge(paths, [None] * len(paths), [texts[p] for p in paths])[0])) == want
+
+
 def test_grammar_sizes():
     import numpy as np
 
