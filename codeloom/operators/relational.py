@@ -258,8 +258,8 @@ def reuse_decision(symbols: DataFrame, query: str, names: list[str], limit: int
 
 
 def next_id(items: DataFrame, key: str, prefix: str = "M-", digits: int = 4) -> DataFrame:
-    """(next_id): the largest number in use, plus one."""
-    return items.agg((F.coalesce(F.max(F.expr(f"try_cast(regexp_extract({key}, '([0-9]+)$', 1) as int)")), F.lit(0)) + 1).alias("n")).select(F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), digits, "0")).alias("next_id"))
+    """(next_id): the largest number in use, plus one; padded to so many digits, and never cut to them."""
+    return items.agg((F.coalesce(F.max(F.expr(f"try_cast(regexp_extract({key}, '([0-9]+)$', 1) as int)")), F.lit(0)) + 1).alias("n")).select(F.concat(F.lit(prefix), F.expr(f"lpad(n, greatest({digits}, length(n)), '0')")).alias("next_id"))
 
 
 # ---------------------------------------------------------------- sets

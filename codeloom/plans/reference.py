@@ -343,7 +343,7 @@ def win08_recent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'M-' || lpad(cast(max(doc_id) + 1 AS VARCHAR), 4, '0') AS next_id FROM documents WHERE doc_id < 9000")
 def win10_next_id(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "documents").filter("doc_id < 9000").select(F.concat(F.lit("M-"), F.col("doc_id").cast("string")).alias("id"))
+    items = table(spark, d, "documents").select(F.concat(F.lit("M-"), F.col("doc_id").cast("string")).alias("id"))
     return R.next_id(items, "id")
 
 

@@ -33,6 +33,15 @@ def test_longest_root_wins_and_one_letter_never(spark):
     assert {r["path"]: r["project"] for r in R.longest_prefix(rows, "path", roots, "root", "project").collect()} == {"a/b/c.py": "a/b", "a/d.py": ".", "z.py": "."}
 
 
+def test_next_id_is_padded_and_never_cut(spark, tmp_path):
+    from codeloom.plans import reference
+
+    ids = lambda *keys: R.next_id(spark.createDataFrame([(k,) for k in keys], "id string"), "id").first()["next_id"]
+    assert ids("M-0007", "M-12", None) == "M-0013" and ids("M-9999", "M-1") == "M-10000" and ids("M-123456") == "M-123457" and ids(None) == "M-0001"
+    spark.createDataFrame([(1,), (8999,), (10000,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert reference.win10_next_id(spark, str(tmp_path)).first()["next_id"] == "M-10001"
+
+
 def test_drift_and_renames(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "path string, sha string")
     new = spark.createDataFrame([("a", "9"), ("d", "2"), ("c", None)], "path string, sha string")
