@@ -15,16 +15,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that stand next to credentials, in lower case, and marks of their formats.
-KEYWORDS = tuple("password passwd passphrase pwd passcode secret token api_key apikey api-key access_key accesskey access-key signing_key signingkey private_key privatekey encryption_key db_pass dbpass credential authorization bearer webhook auth_key authkey .login( identified by -u log in with private key ://".split(" "))
-KEYWORDS = (*(k for k in KEYWORDS if k not in ("identified", "by", "-u", "log", "in", "with", "private", "key")), "identified by", " -u ", "--user", "log in with", "private key-----", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "xoxa-", "qmk_", "sk_live_", "rk_live_", "glpat-", "npm_", "aiza", "eyj", "basic ", "_pass", "sg.")
-
 #: A name that says that its value is a credential.
 _NAME = r"(?:pass(?:word|wd|phrase|code)|pwd|db_?pass|_pass|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|signing[_-]?key|private[_-]?key|encryption[_-]?key|auth[_-]?key|credentials?)"
 _VALUE_Q = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)*)(?P=q)"
@@ -57,6 +56,79 @@ _SHAPES = tuple(
     )
 )
 
+
+
+def _exact(op, arg) -> set[str] | None:
+    """All texts, in lower case, that a part of a pattern can match, or None if they are not few."""
+    if op is sre.LITERAL:
+        return {chr(arg).lower()}
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return {""}
+    if op is sre.IN:
+        return {chr(c).lower() for _, c in arg} if len(arg) <= 8 and all(o is sre.LITERAL for o, _ in arg) else None
+    if op is sre.BRANCH:
+        ways = [_exact_run(w) for w in arg[1]]
+        return set().union(*ways) if all(w is not None for w in ways) else None
+    if op is sre.SUBPATTERN:
+        return _exact_run(arg[-1])
+    if op is sre.MAX_REPEAT and arg[1] == 1:
+        inner = _exact_run(arg[2])
+        return None if inner is None else inner | {""} if arg[0] == 0 else inner
+    return None
+
+
+def _exact_run(parts) -> set[str] | None:
+    texts = {""}
+    for op, arg in parts:
+        more = _exact(op, arg)
+        if more is None or len(texts) * len(more) > 200:
+            return None
+        texts = {a + b for a, b in product(texts, more)}
+    return texts
+
+
+def _needed(parts) -> set[str]:
+    """Texts of which every match holds at least one: those of the run of parts whose shortest text is longest."""
+    best: set[str] = set()
+    run = {""}
+
+    def take(texts: set[str]) -> None:
+        nonlocal best
+        if texts and min(map(len, texts)) > min(map(len, best), default=0):
+            best = texts
+
+    for op, arg in parts:
+        more = _exact(op, arg)
+        if more is not None and len(run) * len(more) <= 200:
+            run = {a + b for a, b in product(run, more)}
+            continue
+        take(run)
+        run = more if more is not None else {""}
+        if op is sre.BRANCH:
+            ways = [_needed(w) for w in arg[1]]
+            take(set().union(*ways) if all(ways) else set())
+        elif op is sre.SUBPATTERN:
+            take(_needed(arg[-1]))
+        elif op is sre.MAX_REPEAT and arg[0] > 0:
+            take(_needed(arg[2]))
+    take(run)
+    return best
+
+
+def keywords_of(patterns) -> tuple[str, ...]:
+    """The fewest texts in lower case of which a line must hold one to match any of the patterns."""
+    found: set[str] = set()
+    for p in patterns:
+        words = _needed(sre_parser.parse(p.pattern, p.flags))
+        if not words:
+            raise ValueError(f"no keyword can be derived from {p.pattern}")
+        found |= words
+    return tuple(sorted(w for w in found if not any(v != w and v in w for v in found)))
+
+
+#: What the automaton looks for: derived from the patterns, so that no line that one accepts is passed over.
+KEYWORDS = keywords_of((ISSUED, _URL, _PEM, *_SHAPES))
+
 #: What stands where a credential would, in templates and examples.
 _EMPTY = re.compile(r"(?i)^(?:change[_-]?me.*|replace[_-]?me.*|your[_-].*|.*your[_-](?:key|token|secret|pass).*|example.*|.*example_?key.*|placeholder.*|dummy.*|sample.*|test|todo|tbd|none|null|nil|true|false|undefined|redacted|secret|password|hidden|n/?a|x+|\*+|\.+|-+|0+)$")
 _REFERENCE = re.compile(r"(?i)(?:\$\{|\$\(|\$[A-Za-z_]|\{\{|\{[a-z_][\w.]*\}|<[^>]*>|%\w+%|%\(|^(?:env|vault|ssm|secret|secrets|file|arn|op|aws|gcp|azure|kms|ref|keychain|sops|enc)[:/(\[]|^@|\bprocess\.env|\bos\.environ|\bgetenv|\bgetpass|://[^:@]*$)")

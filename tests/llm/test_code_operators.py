@@ -1,6 +1,7 @@
 import ast
 import os
 import random
+import re
 
 import pytest
 
@@ -77,6 +78,23 @@ def test_credentials_and_what_only_looks_like_one(spark):
     assert all(m in clean["a.py"] for m in misses)
 
 
+def test_every_line_that_a_pattern_accepts_passes_the_prefilter():
+    finder = credentials.Finder()
+    body = "aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cD3fG6"
+    issued = [f"x {p}{body}" for p in ("ghp_", "gho_", "ghr_", "ghs_", "ghu_", "npm_")] + [f"x github_pat_{body}", f"x glpat-{body}", f"x AKIA{'Q7' * 8}", f"x ASIA{'Q7' * 8}", f"x qmk_prod_{body}", f"x qmk_live_{body}", f"x sk_live_{body}", f"x rk_live_{body}", f"x AIza{body[:35]}", f"x eyJ{body}.eyJ{body}.{body}"] + [f"x xox{c}-1234567890-{body}" for c in "abprs"]
+    names = ["password", "passwd", "passphrase", "passcode", "pwd", "dbpass", "db_pass", "my_pass", "secret", "secret_key", "secretkey", "token", "credential", "credentials"] + [f"{w}{c}key" for w in ("api", "access", "signing", "private", "encryption", "auth") for c in ("", "_", "-")] + ["encryptionKey", "signingKey"]
+    shapes = [f"{n} = 'Kestrel-wing6620!'" for n in names] + [f"{n}: Kestrel-wing6620!" for n in names] + [f"# {n} Kestrel-wing6620!" for n in names] + [f"the {n} is `Kestrel-wing6620!`" for n in names]
+    shapes += [f"{h}: Kestrel-wing6620!" for h in ("authorization", "x-api-key", "x-auth-token", "api-key")] + ["use bearer Kestrel-wing6620!", "use basic\tKestrel-wing6620!", "x://app:Kestrel-wing6620!@db.y/", "create user identified  by 'Kestrel-wing6620!'"]
+    shapes += [f"c.{f}('bob', 'Kestrel-wing6620!')" for f in ("login", "authenticate", "connect", "auth")] + [f"curl {u}bob:Kestrel-wing6620!" for u in ("-u ", "-u=", "--user ", "--user=")] + ["\t-u bob:Kestrel-wing6620!"] + [f"{w} as `bob` / `Kestrel-wing6620!`" for w in ("log in", "login", "sign in", "signin", "connect")]
+    for line in issued + shapes:
+        assert [n for n, _, _ in finder.spans(f"a\n{line}\nb\n")] and {n for n, _, _ in finder.spans(f"a\n{line}\nb\n")} == {2}, line
+    for head in ("PRIVATE KEY", "RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        pem = f"a\n-----BEGIN {head}-----\n" + "MIIBVgIBADANBgkqhkiG9w0BAQEFAASC\n" * 3 + f"-----END {head}-----\n"
+        assert [n for n, _, _ in finder.spans(pem)] == [2] and "MIIB" not in finder.redact(pem)
+    with pytest.raises(ValueError):
+        credentials.keywords_of([re.compile(r"\w+")])
+
+
 def test_grammar_follows_all_readings():
     ambiguous = grammar.Recogniser({"e": (("e", "+", "e"), ("x",))})
     assert ambiguous.ends("e", ["x", "+", "x", "+", "x"]) == {1, 3, 5}
