@@ -171,19 +171,22 @@ def build_edges(files: DataFrame, roots: DataFrame, status: DataFrame, symbols:
 
 
 def _self_targets(asks: DataFrame, goal: DataFrame, bases: DataFrame, cols: list[str]) -> DataFrame:
-    """Methods of self: of the own class, else of the nearest class up its bases in the file, else any method of the file."""
+    """Methods of self: of the own class, else of the nearest class up its bases in the file, however far, else any method of the file."""
     owner = F.when(F.col("scope").contains("."), F.regexp_replace("scope", r"\.[^.]*$", "")).otherwise(F.col("scope"))
     open_ = asks.select("ask", "file", "short", owner.alias("cls"), F.lit(0).alias("depth"))
     up = bases.select("file", F.col("qualname").alias("cls"), F.element_at(F.split("base", r"\."), -1).alias("next")).distinct()
     methods = goal.select(F.col("dfile").alias("file"), "short", F.col("dparent").alias("cls"), "dst", "dkind")
-    seen, level, hits = open_, open_, open_.join(methods, ["file", "short", "cls"]).select("ask", "dst", "depth")
-    for d in range(1, 9):
-        level = level.join(hits.select("ask").distinct(), "ask", "left_anti").join(up, ["file", "cls"]).select("ask", "file", "short", F.col("next").alias("cls"), F.lit(d).alias("depth")).distinct()
+    found = open_.join(methods, ["file", "short", "cls"]).select("ask", "dst", "depth")
+    seen, level, hits, d = open_, open_, found, 0
+    while True:  # ends: a level holds only classes not seen before, and a file has finitely many
+        d += 1
+        level = level.join(found.select("ask").distinct(), "ask", "left_anti").join(up, ["file", "cls"]).select("ask", "file", "short", F.col("next").alias("cls"), F.lit(d).alias("depth")).distinct()
         level, n = checkpoint_counting(level.join(seen.select("ask", "cls"), ["ask", "cls"], "left_anti").select("ask", "file", "short", "cls", "depth"))
         if not n:
             break
         seen = seen.unionByName(level)
-        hits = hits.unionByName(level.join(methods, ["file", "short", "cls"]).select("ask", "dst", "depth"))
+        found = level.join(methods, ["file", "short", "cls"]).select("ask", "dst", "depth")
+        hits = hits.unionByName(found)
     first = hits.withColumn("_d", F.min("depth").over(Window.partitionBy("ask"))).filter("depth = _d").select("ask", "dst")
     rest = open_.join(hits.select("ask").distinct(), "ask", "left_anti").join(methods.filter("dkind = 'method'").drop("cls"), ["file", "short"]).select("ask", "dst")
     known = asks.select(*cols)

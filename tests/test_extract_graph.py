@@ -50,3 +50,12 @@ def test_edges_impact_and_trace(spark):
     assert ("direct-caller", "sym:pkg/people.py::Base.label") in hit and ("direct-caller", "sym:pkg/people.py::Person.show") in hit and ("dependent-file", "file:pkg/people.py") in hit
     causes = [r["node"] for r in G.trace(edges, symbols, "sym:tests/test_people.py::test_it").filter("direction = 'downstream'").orderBy("cause_rank").collect()]
     assert "sym:pkg/people.py::Person" in causes
+
+
+def test_self_methods_are_followed_up_any_number_of_bases(spark):
+    asks = spark.createDataFrame([(1, "f", "run", "C11.go", "exact"), (2, "f", "run", "D1.go", "exact"), (3, "f", "stop", "C11.go", "exact")], "ask int, file string, short string, scope string, own string")
+    goal = spark.createDataFrame([("f", "run", "C0", "C0.run", "method"), ("f", "run", "Z", "Z.run", "method"), ("f", "stop", "Z", "Z.stop", "method")], "dfile string, short string, dparent string, dst string, dkind string")
+    # A chain of eleven links, and a cycle of two that leads nowhere.
+    bases = spark.createDataFrame([*[("f", f"C{i}", f"m.C{i - 1}") for i in range(1, 12)], ("f", "D1", "D2"), ("f", "D2", "D1")], "file string, qualname string, base string")
+    got = {(r["ask"], r["dst"], r["confidence"]) for r in G._self_targets(asks, goal, bases, ["ask", "own"]).collect()}
+    assert got == {(1, "C0.run", "exact"), (2, "C0.run", "inferred"), (2, "Z.run", "inferred"), (3, "Z.stop", "inferred")}
