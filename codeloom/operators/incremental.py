@@ -54,7 +54,7 @@ def without_processed(records: DataFrame, ledger: DataFrame, keys: list[str], ve
 
 
 class Ledger:
-    """A ledger of processed key-and-version pairs in a shared folder.
+    """A ledger of the last processed version of each key, in a shared folder.
 
     ``pending`` gives what is to do, ``commit`` records what was done. A commit is a folder written
     whole and named by its run; without Spark's _SUCCESS file it does not count, so a run that died
@@ -73,9 +73,19 @@ class Ledger:
         folders = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
         return sorted(str(f) for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
 
-    def processed(self) -> DataFrame | None:
+    def _read(self) -> DataFrame | None:
         commits = self._commits()
-        return self.spark.read.parquet(*commits).select(*self.keys, *self.version) if commits else None
+        return self.spark.read.option("mergeSchema", "true").parquet(*commits) if commits else None
+
+    def processed(self) -> DataFrame | None:
+        """The pairs of each key's last commit; commits made before they were numbered come first."""
+        rows = self._read()
+        if rows is None:
+            return None
+        at = F.coalesce("_seq", F.lit(-1)) if "_seq" in rows.columns else F.lit(-1)
+        pairs = rows.groupBy(*self.keys, *self.version).agg(F.max(at).alias("_at"))
+        last = pairs.groupBy(*self.keys).agg(F.max("_at").alias("_at"))
+        return pairs.join(last, [*self.keys, "_at"], "left_semi").select(*self.keys, *self.version)
 
     def low_water(self) -> object:
         """The oldest transaction open when the last good run read, or None before any."""
@@ -83,16 +93,24 @@ class Ledger:
         return self.spark.read.parquet(*commits).agg(F.max("_open_from")).first()[0] if commits else None
 
     def pending(self, records: DataFrame, clock: str) -> DataFrame:
-        """Records from the low-water mark on that are in no commit, each key-and-version once."""
+        """Records from the low-water mark on whose version is not the last committed of their key.
+
+        Of a key the row that stands counts, over all rows, so a version passed by is not given out after its successor,
+        and one that comes back is.
+        """
         mark, done = self.low_water(), self.processed()
-        rows = records.dropna(subset=[*self.keys, *self.version]).dropDuplicates([*self.keys, *self.version])
+        rank = F.struct(F.col(clock).isNotNull(), F.col(clock), *self.version)
+        rows = records.dropna(subset=[*self.keys, *self.version]).groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(self.keys)]).agg(F.max_by(F.struct(*records.columns), rank).alias("_row")).select("_row.*")
         if mark is not None:
             rows = rows.filter(F.col(clock).isNull() | (F.col(clock) >= F.lit(mark)))
         return rows if done is None else without_processed(rows, done, self.keys, self.version)
 
     def commit(self, run: str, records: DataFrame, open_from: object) -> None:
         """Record a run's pairs; open_from is the clock of the oldest transaction open as it read."""
-        records.select(*self.keys, *self.version, F.lit(open_from).alias("_open_from")).write.mode("overwrite").parquet(f"{self.path}/run={run}")
+        done = self._read()
+        newest = done.agg(F.max("_seq")).first()[0] if done is not None and "_seq" in done.columns else None
+        seq = 0 if newest is None else newest + 1
+        records.select(*self.keys, *self.version, F.lit(open_from).alias("_open_from"), F.lit(seq).cast("long").alias("_seq")).write.mode("overwrite").parquet(f"{self.path}/run={run}")
 
 
 __all__ = ["Ledger", "changed_since_last_good", "good_runs", "standing", "without_processed"]

@@ -33,3 +33,16 @@ def test_ledger_survives_a_run_that_died(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in todo.collect()) == [("b", 2), ("c", 1)]
     ledger.commit("r2", todo, open_from=12)
     assert ledger.pending(later, "t").count() == 0
+
+
+def test_ledger_gives_out_a_version_that_comes_back(spark, tmp_path):
+    ledger = I.Ledger(spark, str(tmp_path / "ledger"), ["k"], ["v"])
+    rows = []
+    # Ten runs and more, so that run names do not sort as they were made.
+    for i, version in enumerate(["x", "y", "x", "y", "y", "x", "x", "z", "x", "y", "x", "y"], start=1):
+        rows.append(("a", version, i))
+        todo = ledger.pending(spark.createDataFrame(rows, "k string, v string, t int"), "t")
+        got = [r["v"] for r in todo.collect()]
+        assert got == ([] if i > 1 and rows[-2][1] == version else [version]), i
+        ledger.commit(f"r{i}", todo, open_from=1)
+    assert ledger.pending(spark.createDataFrame([*rows, ("a", "w", None), ("b", "x", 1)], "k string, v string, t int"), "t").first()["k"] == "b"
