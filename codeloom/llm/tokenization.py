@@ -1,12 +1,12 @@
 """Encoding of a whole corpus with a public tokenizer.
 
-The method: a streaming transducer with bounded lookahead. Text is taken in blocks and cut where a
-pre-token must end whatever follows, which one character of lookahead shows: before a blank or line
-feed that stands behind a visible character. Each part is final once cut, so memory does not grow
-with the text. A pre-token longer than a block is encoded byte by byte: the last token of every
-prefix follows from the one before by the merge list, and tokens are emitted once all prefixes that
-a longest token can still reach back to agree on them. Decoding feeds token bytes to an incremental
-UTF-8 machine.
+The method: texts of up to a block go to the library whole. Longer text is taken in blocks and cut where
+a pre-token must end whatever follows, which one character of lookahead shows: before a blank or line
+feed that stands behind a visible character. Each part is final once cut and encoded by the library; text
+without such a place is held whole. A pre-token longer than four blocks is encoded byte by byte: the last
+token of every prefix follows from the one before by the merge list, and tokens are emitted once all
+prefixes that a longest token can still reach back to agree on them. Decoding feeds token bytes to an
+incremental UTF-8 machine.
 
 Defined results: null, and empty text, give an empty list of ids; ids never contain special tokens;
 ties and repeated rows give equal lists; further columns are not looked at.
@@ -44,8 +44,10 @@ class Transducer:
     """Encodes a stream of text blocks; keeps only what a later block can still change."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, block: int = BLOCK):
+        import regex
         import tiktoken
 
+        self.pieces = regex.compile(pattern)
         self.ranks, self.block = ranks, block
         self.reach = sufficient_lookahead(ranks)
         self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -88,11 +90,15 @@ class Transducer:
         return -1
 
     def _whole(self, text: str) -> list[int]:
-        if len(text) <= 4 * self.block or not text.isalpha():
+        if len(text) <= 4 * self.block:
             return self.coder.encode_ordinary(text)
         ids: list[int] = []
-        for part in self.encode_bytes(text.encode()):
-            ids.extend(part)
+        for piece in self.pieces.finditer(text):
+            if len(piece[0]) <= 4 * self.block:
+                ids.extend(self.coder.encode_ordinary(piece[0]))
+                continue
+            for part in self.encode_bytes(piece[0].encode()):
+                ids.extend(part)
         return ids
 
     def _fit(self, left: bytes, right: bytes) -> bool:

@@ -119,3 +119,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert groups[900]["component"] == 900 and groups[900]["links"] == 0
     assert all(groups[a]["component"] == groups[b]["component"] for a, b in want)
     assert near_duplicates.similar_pairs(frame.limit(0), "k", "s").count() == 0
+
+
+def test_long_pre_tokens_of_any_letters_digits_or_marks_go_through_the_automaton():
+    ranks = tokenization.load_ranks(f"{tokenization.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    coder = tokenization.Transducer(ranks, block=8)
+    seen = []
+    inner = coder.encode_bytes
+    coder.encode_bytes = lambda piece: (seen.append(bytes(piece)), inner(piece))[1]
+    for text in (" " + "abcdefgh" * 9, "1234567" * 9, "x" + "-=+*" * 15, "ab1" * 5 + "qwertyuio" * 8 + "'s", "été" * 20, "\n" + " " * 50 + "a"):
+        seen.clear()
+        assert coder.encode(text) == coder.coder.encode_ordinary(text) and seen, text
