@@ -2,9 +2,12 @@
 
 The method: a keyword automaton passes over whole texts and names the lines worth a look; on those
 lines issuer formats and the shapes of an assignment, a header, a login or a connection string are
-matched by regular expressions; the value is then checked for structure - its alphabet, its issuer's
-length, a decodable token part - and against placeholders, references and digests. A hit is replaced
-by as many characters of the same alphabets, so that quotes, escapes and line ends around it stay.
+matched by regular expressions. A token in an issuer's format is taken if its checksum holds or, for web
+tokens, its head decodes; where neither does, and for all other values, the structure decides: alphabet,
+length, and how mixed the characters are, after placeholders, references and digests are left out. A hit
+is replaced by as many characters of the same alphabets, so that quotes, escapes and line ends around it
+stay. Every pattern is linear in the line, however long: names are taken whole from their first letter,
+and repeats that could share characters with what follows them give nothing back.
 
 Defined results: null and empty texts have no credentials and come out as they are; lines are split at
 line feeds and counted from 1; a private key counts once, at its opening line; repeated rows count
@@ -13,7 +16,10 @@ once; further columns pass through redaction untouched.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import product
 from re import _constants as sre
@@ -24,38 +30,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A name that says that its value is a credential.
-_NAME = r"(?:pass(?:word|wd|phrase|code)|pwd|db_?pass|_pass|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|signing[_-]?key|private[_-]?key|encryption[_-]?key|auth[_-]?key|credentials?)"
-_VALUE_Q = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)*)(?P=q)"
+#: A word that says that the value of a name is a credential.
+_WORD = r"(?:pass(?:word|wd|phrase|code)|pwd|db_?pass|_pass|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|signing[_-]?key|private[_-]?key|encryption[_-]?key|auth[_-]?key|credentials?)"
+#: A whole dotted name whose last part holds such a word.
+_NAME = rf"(?P<n>(?<![\w.\-])(?:[\w\-]*+\.)*+(?=[\w\-]*?{_WORD})[\w\-]++)"
+_VALUE_Q = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)*+)(?P=q)"
+_LOGIN = r"(?:log ?in|sign ?in|connect)"
 
 #: Issuer formats: each is a credential wherever it stands.
 ISSUED = re.compile(
-    r"(?<![A-Za-z0-9_])(?:(?P<aws>A(?:K|S)IA[0-9A-Z]{16})|(?P<git>gh[oprsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36})|(?P<chat>xox[abprs]-\d{8,}-[\w-]{16,})"
-    r"|(?P<own>qmk_(?:live|prod)_[A-Za-z0-9]{16,}|[sr]k_live_[A-Za-z0-9]{16,})|(?P<maps>AIza[\w-]{35})|(?P<jwt>eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}))(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9_])(?:(?P<aws>A(?:K|S)IA[0-9A-Z]{16})|(?P<git>gh[oprsu]_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36})|(?P<lab>github_pat_[A-Za-z0-9_]{22,}+|glpat-[\w-]{20,}+)|(?P<chat>xox[abprs]-\d{8,}+-[\w-]{16,}+)"
+    r"|(?P<live>(?!pk_)[a-z]{2,8}_(?:live|prod)_[A-Za-z0-9]{16,}+)|(?P<maps>AIza[\w-]{35})|(?P<jwt>(?<!-)eyJ[\w-]{8,}+\.eyJ[\w-]{8,}+\.[\w-]{16,}+))(?![A-Za-z0-9])"
 )
-_URL = re.compile(r"[a-z][a-z0-9+.-]*://(?P<u>[^\s:/@\"'<>]*):(?P<v>[^\s/\"'<>]+?)@[\w.\[-]", re.I)
+_URL = re.compile(r"(?<=[a-z0-9])://(?P<u>[^\s:/@\"'<>]*+):(?P<v>[^\s/\"'<>]+?)@[\w.\[-]", re.I)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_BODY = re.compile(r"(?:[^\n]*?:[^\n]*\n)*\s*[\"']?[A-Za-z0-9+/=]{16,}")
+_BODY = re.compile(r"(?:[^\n:]*+:[^\n]*+\n)*+\s*+[\"']?[A-Za-z0-9+/=]{16,}+")
 _SHAPES = tuple(
     re.compile(p, re.I)
     for p in (
         # name = "value", name: "value", "name": "value", ("NAME", "value"), name='value'
-        rf"(?P<n>[\w.\-]*{_NAME}[\w\-]*)[\"'`]?\]?\)?(?:\s*:\s*[\w\[\]| ]+)?\s*(?::=|=>|[:=,]|\bis\b)\s*(?:[rbfu]?){_VALUE_Q}",
+        rf"{_NAME}[\"'`]?\]?\)?(?:\s*+:\s*+[\w\[\]|]++(?:\ ++[\w\[\]|]++)*+)?\s*+(?::=|=>|[:=,]|\bis\b)\s*+(?:[rbfu]?){_VALUE_Q}",
         # name=value and name: value without quotes, to the end of the line or a blank; word value in prose
-        rf"(?P<n>[\w.\-]*{_NAME}[\w\-]*)[\"'`]?\s*(?:[:=]|\bis\b|\bwas\b)\s*(?P<v>[^\s\"'`,;)}}]+)",
-        rf"(?://|#|--|\*)\s*(?P<n>\w*{_NAME}\w*)\s+(?P<v>[^\s\"'`,;]+)",
+        rf"{_NAME}[\"'`]?\s*+(?:[:=]|\bis\b|\bwas\b)\s*+(?P<v>[^\s\"'`,;)}}]++)",
+        rf"(?://|#|--|\*)\s*+(?P<n>(?=[\w\-]*?{_WORD})[\w\-]++)\s++(?P<v>[^\s\"'`,;]++)",
         # headers
-        r"(?:authorization|x-api-key|x-auth-token|api-key)[\"'`]?\s*[:=,]\s*[\"'`]?(?:bearer|basic|token|apikey)?\s*(?P<v>[^\s\"'`,;}]+)",
-        r"\b(?:bearer|basic)\s+(?P<v>[^\s\"'`,;}]+)",
+        r"(?:authorization|x-api-key|x-auth-token|api-key)[\"'`]?\s*+[:=,]\s*+[\"'`]?(?:(?:bearer|basic|token|apikey)\s*+)?(?P<v>[^\s\"'`,;}]++)",
+        r"\b(?:bearer|basic)\s++(?P<v>[^\s\"'`,;}]++)",
         # logins
-        rf"\.(?:login|authenticate|connect|auth)\(\s*[\"'][^\"']*[\"']\s*,\s*{_VALUE_Q}",
-        rf"identified\s+by\s+(?:password\s+)?{_VALUE_Q}",
-        r"\s(?:-u|--user)[ =][\"']?[\w.@-]+:(?P<v>[^\s\"']+)",
-        rf"(?:log ?in|sign ?in|connect)[^`\n]*`[^`]*`\s*(?:/|and|,)\s*`(?P<v>[^`]+)`",
-        rf"(?:{_NAME})\w*[^`\n]{{0,40}}`(?P<v>[^`]+)`",
+        rf"\.(?:login|authenticate|connect|auth)\(\s*+[\"'][^\"']*+[\"']\s*+,\s*+{_VALUE_Q}",
+        rf"identified\s++by\s++(?:password\s++)?{_VALUE_Q}",
+        r"\s(?:-u|--user)[ =][\"']?[\w.@-]++:(?P<v>[^\s\"']++)",
+        rf"{_LOGIN}(?:(?!{_LOGIN})[^`\n])*+`[^`]*+`\s*+(?:/|and|,)\s*+`(?P<v>[^`]++)`",
+        rf"{_WORD}(?:(?!{_WORD})\w)*+[^`\n]{{0,40}}`(?P<v>[^`]++)`",
     )
 )
-
+#: A second literal that goes on with a value, after a plus or a blank.
+_MORE = re.compile(r"""\s*+(?:\+\s*+)?["']((?:[^"'\\]|\\.)*+)["']""")
 
 
 def _exact(op, arg) -> set[str] | None:
@@ -98,6 +108,8 @@ def _needed(parts) -> set[str]:
             best = texts
 
     for op, arg in parts:
+        if op is sre.ASSERT:
+            take(_needed(arg[1]))
         more = _exact(op, arg)
         if more is not None and len(run) * len(more) <= 200:
             run = {a + b for a, b in product(run, more)}
@@ -131,10 +143,11 @@ KEYWORDS = keywords_of((ISSUED, _URL, _PEM, *_SHAPES))
 
 #: What stands where a credential would, in templates and examples.
 _EMPTY = re.compile(r"(?i)^(?:change[_-]?me.*|replace[_-]?me.*|your[_-].*|.*your[_-](?:key|token|secret|pass).*|example.*|.*example_?key.*|placeholder.*|dummy.*|sample.*|test|todo|tbd|none|null|nil|true|false|undefined|redacted|secret|password|hidden|n/?a|x+|\*+|\.+|-+|0+)$")
-_REFERENCE = re.compile(r"(?i)(?:\$\{|\$\(|\$[A-Za-z_]|\{\{|\{[a-z_][\w.]*\}|<[^>]*>|%\w+%|%\(|^(?:env|vault|ssm|secret|secrets|file|arn|op|aws|gcp|azure|kms|ref|keychain|sops|enc)[:/(\[]|^@|\bprocess\.env|\bos\.environ|\bgetenv|\bgetpass|://[^:@]*$)")
+_REFERENCE = re.compile(r"(?i)(?:\$\{|\$\(|\$[A-Za-z_]|\{\{|\{[a-z_][\w.]*\}|<[^<>]*>|%\w+%|%\(|^(?:env|vault|ssm|secret|secrets|file|arn|op|aws|gcp|azure|kms|ref|keychain|sops|enc)[:/(\[]|^@|\bprocess\.env|\bos\.environ|\bgetenv|\bgetpass|://[^:@]*$)")
 _DIGEST = re.compile(r"(?i)^(?:sha\d*|md5|blake\w*|bcrypt|argon\w*|pbkdf2|scrypt|crc\d*)[:$-]|^\$(?:2[aby]|argon2|pbkdf2|5|6)\$")
 _PATH = re.compile(r"^(?:\.{0,2}/[\w./-]+|[A-Za-z]:\\.*|[\w-]+\.(?:pem|key|txt|json|ya?ml|env|crt|py|js))$")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+_CALLED = re.compile(r"[A-Za-z_$][\w.$]*[(\[]")
 _CODE = re.compile(r"^[A-Za-z_][\w.]*(?:\(.*|\[.*)?$")
 #: Names whose value is public although a keyword stands in them.
 _PUBLIC = re.compile(r"(?i)(?:public|_id$|_file$|_path$|_url$|_name$|ref$|_hash$|_digest$|_count$|_type$|_ttl$|_len(?:gth)?$|_label$|_hint$|_field$)")
@@ -163,10 +176,41 @@ def _mixed(value: str) -> bool:
     return value.isalnum() and changes >= len(value) / 4
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_holds(token: str) -> bool:
+    """Whether the last six characters of a token are the CRC-32, in base 62, of those between its prefix and them."""
+    body, told = token[token.index("_") + 1 : -6], token[-6:]
+    number = 0
+    for c in told:
+        number = number * 62 + _BASE62.index(c)
+    return number == zlib.crc32(body.encode())
+
+
+def head_decodes(token: str) -> bool:
+    """Whether the first part of a web token is a JSON object that names its algorithm."""
+    head = token.split(".", 1)[0]
+    try:
+        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, TypeError):
+        return False
+
+
+def issued(kind: str, token: str) -> bool:
+    """Whether a token in an issuer's format is one: by checksum, decoded head, or else its mix of characters."""
+    if "EXAMPLE" in token:
+        return False
+    if kind in ("aws", "maps") or kind == "git" and checksum_holds(token) or kind == "jwt" and head_decodes(token):
+        return True  # the first two are of fixed length behind a prefix that stands for nothing else
+    parts = [p[3:] if p.startswith("eyJ") else p for p in token.split(".")] if kind == "jwt" else [token[max(token.rfind("_"), token.rfind("-")) + 1 :] if kind in ("git", "live") else token[4:]]
+    return all(len(set(p)) >= min(8, len(p) // 2) for p in parts)
+
+
 def _values(line: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each credential in a line, private keys aside."""
     for m in ISSUED.finditer(line):
-        if "EXAMPLE" not in m.group():
+        if issued(m.lastgroup, m.group()):
             yield m.span()
     for m in _URL.finditer(line):
         if not _EMPTY.match(m["v"]) and not _REFERENCE.search(m["v"]) and len(m["v"]) >= 4:
@@ -177,12 +221,12 @@ def _values(line: str) -> Iterator[tuple[int, int]]:
             if groups.get("n") and _PUBLIC.search(groups["n"]):
                 continue
             value = m["v"]
-            if groups.get("q") and (rest := re.match(r"""\s*(?:\+|\\$)?\s*["']((?:[^"'\\]|\\.)*)["']""", line[m.end() :])) and line[m.end() : m.end() + 4].strip().startswith(("+", '"', "'")):
+            if groups.get("q") and line[m.end() : m.end() + 4].strip().startswith(("+", '"', "'")) and (rest := _MORE.match(line, m.end())):
                 if plausible(value + rest[1]):
-                    yield m.start("v"), m.end("v")
-                    yield m.end() + rest.start(1), m.end() + rest.end(1)
+                    yield m.span("v")
+                    yield rest.span(1)
                 continue
-            if not groups.get("q") and re.match(r"[A-Za-z_$][\w.$]*[(\[]", value):
+            if not groups.get("q") and _CALLED.match(value):
                 continue  # a call or an index, not a value
             if plausible(value):
                 yield m.span("v")
@@ -221,15 +265,15 @@ class Finder:
         """(line number, start, end) of each credential."""
         closed = -1
         for number, start, line in self.lines(text):
+            if start < closed:
+                continue
             if m := _PEM.search(line):
-                stop = text.find("-----END", start + m.end())
+                stop = text.find("-----", start + m.end())
                 stop = len(text) if stop < 0 else stop
                 if _BODY.match(text[start + m.end() : stop].replace("\\n", "\n").lstrip("\r\n\"'+ \\")) :
                     closed = stop
                     yield number, start + m.end(), stop
                 continue
-            if start < closed:
-                continue
             for a, b in _values(line):
                 yield number, start + a, start + b
 

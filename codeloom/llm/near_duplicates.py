@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.components import components
@@ -28,6 +28,8 @@ from codeloom.runtime import checkpoint
 
 ROWS, BANDS, WORDS = 4, 48, 3
 MINIMA = ROWS * BANDS
+#: Keys of a group of copies that one task pairs with as many others.
+PART = 1000
 
 
 def _coefficients(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +79,13 @@ def sketches(sets: DataFrame, key: str, values: str, seed: int = 7) -> DataFrame
     return clean.mapInArrow(run, schema)
 
 
-def similar_pairs(sets: DataFrame, key: str, values: str, numerator: int = 7, denominator: int = 10) -> DataFrame:
-    """(a, b, overlap, union): distinct keys a < b whose sets have a Jaccard similarity of at least numerator / denominator.
-
-    A pair of copies is a pair like any other; the sets of a copy group are compared once.
-    """
+def compared(sets: DataFrame, key: str, values: str, numerator: int = 7, denominator: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, overlap, union) of representatives, and (rep, key, size, n) of each set that has n copies, itself included."""
     made = checkpoint(sketches(sets.select(key, values), key, values))
-    copies = made.groupBy("print_a", "print_b", "size").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
-    member = made.select("key", "print_a", "print_b", "size").join(copies.filter("n > 1"), ["print_a", "print_b", "size"]).select("rep", "key", "size").distinct()
-    reps = made.join(copies.filter("n > 1").select(*["print_a", "print_b", "size"], "rep"), ["print_a", "print_b", "size"], "left").filter("rep is null or rep = key").select("key", "size", "bands", "bits")
+    copies = made.groupBy("print_a", "print_b", "size").agg(F.min("key").alias("rep"), F.count_distinct("key").alias("n")).filter("n > 1")
+    grouped = made.join(copies, ["print_a", "print_b", "size"], "left")
+    member = checkpoint(grouped.filter("rep is not null").select("rep", "key", "size", "n").distinct())
+    reps = grouped.filter("rep is null or rep = key").select("key", "size", "bands", "bits")
     row = reps.select("key", "size", F.explode("bands").alias("band"))
     left, right = row.select("band", F.col("key").alias("a"), F.col("size").alias("na")), row.select("band", F.col("key").alias("b"), F.col("size").alias("nb"))
     close = (F.col("na") * denominator >= F.col("nb") * numerator) & (F.col("nb") * denominator >= F.col("na") * numerator)
@@ -99,15 +99,40 @@ def similar_pairs(sets: DataFrame, key: str, values: str, numerator: int = 7, de
     held = sets.select(F.col(key).alias("k"), F.array_distinct(F.array_compact(values)).alias("v")).join(sides, "k", "left_semi").dropDuplicates(["k"])
     exact = likely.join(held.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(held.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b")
     exact = exact.withColumn("overlap", F.size(F.array_intersect("va", "vb")).cast("long")).withColumn("union", F.col("na") + F.col("nb") - F.col("overlap"))
-    exact = checkpoint(exact.filter(F.col("overlap") * denominator >= F.col("union") * numerator).select("a", "b", "overlap", "union"))
-    return _with_copies(exact, member)
+    return checkpoint(exact.filter(F.col("overlap") * denominator >= F.col("union") * numerator).select("a", "b", "overlap", "union")), member
+
+
+def similar_pairs(sets: DataFrame, key: str, values: str, numerator: int = 7, denominator: int = 10) -> DataFrame:
+    """(a, b, overlap, union): distinct keys a < b whose sets have a Jaccard similarity of at least numerator / denominator.
+
+    A pair of copies is a pair like any other; the sets of a copy group are compared once.
+    """
+    return _with_copies(*compared(sets, key, values, numerator, denominator))
+
+
+def _parts(n: Column) -> Column:
+    return F.ceil(n / PART).cast("int")
 
 
 def _with_copies(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """Pairs of representatives, carried over to the copies, and the pairs of copies themselves."""
-    left, right = member.select(F.col("rep").alias("a"), F.col("key").alias("ma")), member.select(F.col("rep").alias("b"), F.col("key").alias("mb"))
-    wide = pairs.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"), "overlap", "union")
-    twins = member.select("rep", F.col("key").alias("x"), F.col("size").cast("long").alias("overlap")).join(member.select("rep", F.col("key").alias("y")), "rep").filter("x < y").select("x", "y", "overlap", F.col("overlap").alias("union"))
+    """Pairs of representatives, carried over to the copies, and the pairs of copies themselves.
+
+    A group of copies is dealt out to parts of about ``PART`` keys, and the parts are paired, so no task holds more than
+    the pairs of two parts.
+    """
+    dealt = member.withColumn("part", F.pmod(F.xxhash64("key"), _parts(F.col("n"))).cast("int"))
+    groups = member.groupBy("rep").agg(F.first("n").alias("n"))
+
+    def carried(rows: DataFrame, end: str) -> DataFrame:
+        spread = rows.join(groups.select(F.col("rep").alias(end), "n"), end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(_parts(F.col("n")) - 1, F.lit(0))))).drop("n")
+        met = spread.join(dealt.select(F.col("rep").alias(end), "part", F.col("key").alias("_m")), [end, "part"], "left")
+        return met.withColumn(f"{end}_key", F.coalesce("_m", end)).drop("part", "_m")
+
+    wide = carried(carried(pairs, "a"), "b").select(F.col("a_key").alias("x"), F.col("b_key").alias("y"), "overlap", "union")
+    every = F.explode(F.sequence(F.lit(0), _parts(F.col("n")) - 1))
+    left = dealt.select("rep", F.col("part").alias("i"), every.alias("j"), F.col("key").alias("x"), F.col("size").cast("long").alias("overlap"))
+    right = dealt.select("rep", F.col("part").alias("j"), every.alias("i"), F.col("key").alias("y"))
+    twins = left.join(right, ["rep", "i", "j"]).filter("x < y").select("x", "y", "overlap", F.col("overlap").alias("union"))
     return wide.unionByName(twins).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "union").distinct()
 
 
@@ -119,4 +144,21 @@ def classes(sets: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return sets.select(key).dropna().distinct().join(group, key, "left").join(links, key, "left").select(key, F.coalesce("component", key).alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-__all__ = ["classes", "components", "similar_pairs", "sketches"]
+def groups(sets: DataFrame, key: str, values: str, numerator: int = 7, denominator: int = 10) -> DataFrame:
+    """(key, component, links): every key with its group, its own if it is in no pair, and its number of links.
+
+    Copies take the group of their representative, the least of them; their links are counted from the sizes of the groups
+    and never made.
+    """
+    pairs, member = compared(sets, key, values, numerator, denominator)
+    sizes = member.groupBy(F.col("rep").alias("b")).agg(F.first("n").alias("n"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.join(sizes, "b", "left").groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("n", F.lit(1))).alias("far"))
+    group = components(pairs).withColumnRenamed("node", "rep")
+    keys = sets.select(key).dropna().distinct()
+    rows = keys.join(member.select(F.col("key").alias(key), "rep", "n"), key, "left").withColumn("rep", F.coalesce("rep", key))
+    rows = rows.join(group, "rep", "left").join(links, "rep", "left")
+    return rows.select(key, F.coalesce("component", "rep").alias("component"), (F.coalesce("far", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("links"))
+
+
+__all__ = ["classes", "components", "groups", "similar_pairs", "sketches"]

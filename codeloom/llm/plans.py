@@ -47,8 +47,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = table(spark, sf_dir, "bodies")
-    return near_duplicates.classes(bodies, "sym_seq", near_duplicates.similar_pairs(bodies, "sym_seq", "exact"))
+    return near_duplicates.groups(table(spark, sf_dir, "bodies"), "sym_seq", "exact")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Repetition inside a single document.
 
 The method: a table of thresholds is compiled into one projection of ratios, made of built-in
-functions only; no user function and no shuffle. Runs of ``n`` words are hashed, sorted by hash and
+functions only; no user function and no shuffle. Only the measures that a table names are computed:
+``repetitive`` uses the table's first row, ``repetition`` all of them. Runs of ``n`` words are hashed, sorted by hash and
 position, and every run after the first of its hash marks its words as repeated. Sorting makes the
 work n log n in the length of the document, whole texts included.
 
@@ -26,13 +27,16 @@ LETTERS = r"\p{L}+"
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = "the of and to in a is that for it on with as by at from le la les des du et un une der die das und ein eine el los las de y en".split()
 
-#: (measure, comparison, bound, minimum of words); a document breaks a rule if the measure passes the bound.
+#: A row: (measure, comparison, bound, minimum of words); a document breaks a rule if the measure passes the bound.
+#: A share of exactly a third counts: both sides are then the same quotient, rounded the same way.
+REPEATED = ("repeated_share", ">=", 1 / 3, 50)
+#: The stop words are those of four languages: a text in another one breaks the last rule too.
 THRESHOLDS = (
-    ("repeated_share", ">=", 1 / 3, 50),
+    REPEATED,
     ("duplicate_line_share", ">", 0.5, 50),
     ("symbol_share", ">", 0.3, 50),
     ("mean_word_length", ">", 20.0, 50),
-    ("stop_word_share", "<", 0.0, 50),
+    ("stop_word_share", "<", 0.02, 50),
 )
 
 
@@ -69,8 +73,11 @@ def repeated_words(tokens: Column, n: int = 8) -> Column:
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), marked)
 
 
-def measures(text: Column, n: int = 8) -> Column:
-    """One struct of all ratios of a text."""
+MEASURES = ("repeated_share", "mean_word_length", "stop_word_share", "symbol_share", "duplicate_line_share")
+
+
+def measures(text: Column, n: int = 8, names: tuple[str, ...] = MEASURES) -> Column:
+    """One struct of the number of words and the named ratios of a text."""
     safe = F.coalesce(text, F.lit(""))
     lines = F.filter(F.transform(F.split(safe, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])
@@ -80,14 +87,14 @@ def measures(text: Column, n: int = 8) -> Column:
 
     def of_words(w: Column) -> Column:
         count = F.size(w)
-        return F.struct(
-            count.alias("words"),
-            ratio(repeated_words(w, n), count).alias("repeated_share"),
-            ratio(F.length(F.array_join(w, "")), count).alias("mean_word_length"),
-            ratio(F.size(F.filter(w, lambda x: F.array_contains(stops, x))), count).alias("stop_word_share"),
-            ratio(F.length(F.regexp_replace(safe, r"[\p{L}\p{N}\s]", "")), F.length(safe)).alias("symbol_share"),
-            let(lines, lambda x: ratio(F.size(x) - F.size(F.array_distinct(x)), F.size(x))).alias("duplicate_line_share"),
-        )
+        ways = {
+            "repeated_share": lambda: ratio(repeated_words(w, n), count),
+            "mean_word_length": lambda: ratio(F.length(F.array_join(w, "")), count),
+            "stop_word_share": lambda: ratio(F.size(F.filter(w, lambda x: F.array_contains(stops, x))), count),
+            "symbol_share": lambda: ratio(F.length(F.regexp_replace(safe, r"[\p{L}\p{N}\s]", "")), F.length(safe)),
+            "duplicate_line_share": lambda: let(lines, lambda x: ratio(F.size(x) - F.size(F.array_distinct(x)), F.size(x))),
+        }
+        return F.struct(count.alias("words"), *[ways[name]().alias(name) for name in names])
 
     return let(words(text), of_words)
 
@@ -103,20 +110,21 @@ def broken_rules(m: Column, thresholds=THRESHOLDS) -> Column:
     return F.filter(F.array(*[breaks(*rule) for rule in thresholds]), lambda x: x.isNotNull())
 
 
+def judged(text: Column, n: int, thresholds) -> Column:
+    """(m, broken): the measures that a table names, and the rules of it that a text breaks."""
+    names = tuple(dict.fromkeys(rule[0] for rule in thresholds))
+    return let(measures(text, n, names), lambda m: F.struct(m.alias("m"), broken_rules(m, thresholds).alias("broken")))
+
+
 def repetition(docs: DataFrame, text: str = "text", n: int = 8, thresholds=THRESHOLDS) -> DataFrame:
     """Each document with its measures and the rules that it breaks, in one projection."""
-    names = ["words", "repeated_share", "mean_word_length", "stop_word_share", "symbol_share", "duplicate_line_share"]
+    row = docs.withColumn("_r", judged(F.col(text), n, thresholds))
+    names = row.schema["_r"].dataType["m"].dataType.names
     kept = [c for c in docs.columns if c not in {*names, "broken"} and c != text]
-    row = docs.select(*kept, let(measures(F.col(text), n), lambda m: F.struct(m.alias("m"), broken_rules(m, thresholds).alias("broken"))).alias("_r"))
     return row.select(*kept, *[F.col(f"_r.m.{c}").alias(c) for c in names], F.col("_r.broken").alias("broken"))
 
 
-def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 8, share: float = 1 / 3, least: int = 50) -> DataFrame:
-    """Keys of the documents of at least ``least`` words of which a share lies in repeated runs.
-
-    The share is compared in whole numbers, so a share of exactly a third counts.
-    """
-    numerator, denominator = float(share).as_integer_ratio() if share != 1 / 3 else (1, 3)
+def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 8, thresholds=(REPEATED,)) -> DataFrame:
+    """Keys of the documents that break a rule of the table."""
     # One condition, so that the optimizer does not copy its parts into several filters.
-    large = let(words(F.col(text)), lambda w: (F.size(w) >= least) & (repeated_words(w, n).cast("long") * denominator >= F.size(w).cast("long") * numerator))
-    return docs.filter(large).select(key).distinct()
+    return docs.filter(F.size(judged(F.col(text), n, thresholds)["broken"]) > 0).select(key).distinct()

@@ -49,7 +49,7 @@ _JS = re.compile(
 )
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?s:.)|\$(?!\{))*(`|\$\{)", re.S)
 _JS_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-_TS_GENERIC = re.compile(r"<(?:[^<>(){};=\n]|\[\]|=>|<(?:[^<>(){};=\n]|<[^<>(){};=\n]*>)*>)*>(?=[\s(,;)=\[\]{|&>:])")
+_TS_GENERIC = re.compile(r"<(?:[^<>(){};=\n]|=>|<(?:[^<>(){};=\n]++|<[^<>(){};=\n]*+>)*+>)*+>(?=[\s(,;)=\[\]{|&>:])")
 _JS_IMPORT = re.compile(r"""\s*(?:type\s+)?(?:(?:[\w$]+\s*,\s*)?(?:\*\s*as\s+[\w$]+|\{[^{}'"]*\})\s*from\s*|[\w$]+\s+from\s*)?(?:'[^'\n]*'|"[^"\n]*")|\s*[.(]|\s*[\w$]+\s*=""")
 
 #: Reserved and contextual words of the language.

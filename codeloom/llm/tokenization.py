@@ -1,12 +1,14 @@
 """Encoding of a whole corpus with a public tokenizer.
 
-The method: texts of up to a block go to the library whole. Longer text is taken in blocks and cut where
-a pre-token must end whatever follows, which one character of lookahead shows: before a blank or line
-feed that stands behind a visible character. Each part is final once cut and encoded by the library; text
-without such a place is held whole. A pre-token longer than four blocks is encoded byte by byte: the last
-token of every prefix follows from the one before by the merge list, and tokens are emitted once all
-prefixes that a longest token can still reach back to agree on them. Decoding feeds token bytes to an
-incremental UTF-8 machine.
+The method: a streaming transducer. Text comes in blocks and is cut into pre-tokens; a pre-token is fed to
+the transducer byte by byte. The last token of every prefix follows from the one before by the merge list:
+it is the longest token that ends there and that the merges leave apart from the last token of what lies
+before it. A later token reaches back no further than the longest token is long, which is the merge list's
+sufficient lookahead; as soon as all prefixes within it go back through one place, the tokens up to there
+are emitted and forgotten. So memory is constant, however long a pre-token or a text. A pre-token that
+runs over the end of a block goes on with the next one. Encodings of short pre-tokens, and the pairs of
+tokens that merges leave apart, are remembered, in tables that are emptied when full. Decoding feeds token
+bytes to an incremental UTF-8 machine. No tokenizer library takes part; the tests compare with one.
 
 Defined results: null, and empty text, give an empty list of ids; ids never contain special tokens;
 ties and repeated rows give equal lists; further columns are not looked at.
@@ -16,16 +18,19 @@ from __future__ import annotations
 
 import base64
 import codecs
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Where the public vocabulary files lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
-#: Characters taken at a time.
-BLOCK = 1 << 16
+#: Characters taken at a time; the longest pre-token that is remembered; entries of a table of what is remembered.
+BLOCK, SHORT, REMEMBERED = 1 << 16, 32, 1 << 18
 #: Fixed value: the published pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -45,115 +50,186 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, block: int = BLOCK):
         import regex
-        import tiktoken
 
-        self.pieces = regex.compile(pattern)
-        self.ranks, self.block = ranks, block
+        self.pattern, self.pieces = pattern, regex.compile(pattern)
+        self.runs = tuple(regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*", r"\s*"))
+        self.ranks, self.block, self.short = ranks, max(block, 3), min(block, SHORT)  # no contraction is longer than three
         self.reach = sufficient_lookahead(ranks)
-        self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        sizes: dict[bytes, set[int]] = {}
+        for token in ranks:
+            sizes.setdefault(token[-2:], set()).add(len(token))
+        #: By the two bytes that a token of two bytes or more ends with: how long such tokens are, the longest first.
+        self.sizes = {end: sorted(of, reverse=True) for end, of in sizes.items() if len(end) == 2}
+        self.known: dict[str, array] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
 
+    @cached_property
+    def coder(self):
+        """A library's encoder of the same vocabulary, for comparison."""
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+
     def encode(self, text: str | None) -> list[int]:
+        ids = array("i")
+        self.encode_into(text, ids)
+        return ids.tolist()
+
+    def encode_into(self, text: str | None, ids: array) -> None:
         if not text:
-            return []
+            return
         if len(text) <= self.block:
-            return self.coder.encode_ordinary(text)
-        ids: list[int] = []
-        for part in self.encode_blocks(text[i : i + self.block] for i in range(0, len(text), self.block)):
-            ids.extend(part)
-        return ids
+            self._pieces(self.pieces.findall(text), ids)
+        else:
+            for part in self.encode_blocks(text[i : i + self.block] for i in range(0, len(text), self.block)):
+                ids.extend(part)
+
+    def encode_blocks(self, blocks: Iterable[str]) -> Iterator[array]:
+        """Ids as soon as they are final.
 
-    def encode_blocks(self, blocks: Iterable[str]) -> Iterator[list[int]]:
-        """Lists of ids as soon as they are final."""
-        held: list[str] = []
+        A pre-token is final once two characters stand behind it: one ends a run, two decide on a contraction. One that
+        is longer than a block is fed to the transducer as it comes.
+        """
+        held, stream, run = "", None, None
         for block in blocks:
-            cut = self._cut(block, held[-1][-1] if held else "")
-            if cut < 0:
-                held.append(block)
-                continue
-            yield self._whole("".join([*held, block[:cut]]))
-            held = [block[cut:]]
-        if held:
-            yield self._whole("".join(held))
-
-    @staticmethod
-    def _cut(block: str, before: str) -> int:
-        """The last place in the block where a pre-token must end, or -1."""
-        at = len(block)
-        while at > 0:
-            at = max(block.rfind(" ", 0, at), block.rfind("\n", 0, at))
-            if at < 0:
-                return -1
-            last = block[at - 1] if at else before
-            if last and not last.isspace():
-                return at
-        return -1
-
-    def _whole(self, text: str) -> list[int]:
-        if len(text) <= 4 * self.block:
-            return self.coder.encode_ordinary(text)
-        ids: list[int] = []
-        for piece in self.pieces.finditer(text):
-            if len(piece[0]) <= 4 * self.block:
-                ids.extend(self.coder.encode_ordinary(piece[0]))
-                continue
-            for part in self.encode_bytes(piece[0].encode()):
-                ids.extend(part)
-        return ids
+            held, ids = held + block, array("i")
+            if stream is not None:
+                end = self._run_end(run, held)
+                done = end + 2 <= len(held)
+                keep = end if done else len(held) - 2
+                ids.extend(stream.feed(held[:keep].encode()))
+                held = held[keep:]
+                if done:
+                    ids.extend(stream.close())
+                    stream = None
+            if stream is None:
+                pieces, at = [], 0
+                for m in self.pieces.finditer(held):
+                    if m.end() + 2 > len(held):
+                        break
+                    pieces.append(m[0])
+                    at = m.end()
+                self._pieces(pieces, ids)
+                held = held[at:]
+                if len(held) > self.block + 2:
+                    run = next(r for r in self.runs if r.match(held, len(held) - 2).end() > len(held) - 2)
+                    stream = Prefixes(self)
+                    ids.extend(stream.feed(held[:-2].encode()))
+                    held = held[-2:]
+            yield ids
+        ids = array("i")
+        if stream is not None:
+            end = self._run_end(run, held)
+            ids.extend(stream.feed(held[:end].encode()))
+            ids.extend(stream.close())
+            held = held[end:]
+        self._pieces(self.pieces.findall(held), ids)
+        yield ids
+
+    def _run_end(self, run, text: str) -> int:
+        """Where a run that goes on in the text ends; its last blank belongs to a word that follows."""
+        end = run.match(text).end()
+        return end - 1 if run is self.runs[3] and end < len(text) else end
 
-    def _fit(self, left: bytes, right: bytes) -> bool:
+    def _pieces(self, pieces: Iterable[str], ids: array) -> None:
+        known, take = self.known.get, ids.extend
+        for piece in pieces:
+            got = known(piece)
+            if got is None:
+                got = array("i")
+                for part in self.encode_bytes(piece.encode()):
+                    got.extend(part)
+                if len(piece) <= self.short:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[piece] = got
+            take(got)
+
+    def apart(self, left: bytes, right: bytes) -> bool:
         """Whether the merges leave these two tokens apart when they meet."""
         key = (left, right)
-        if key not in self.fits:
-            self.fits[key] = self.coder._encode_single_piece(left + right) == [self.ranks[left], self.ranks[right]]
-        return self.fits[key]
+        held = self.fits.get(key)
+        if held is None:
+            if len(self.fits) >= REMEMBERED:
+                self.fits.clear()
+            held = self.fits[key] = self._merged(left + right) == [left, right]
+        return held
+
+    def _merged(self, data: bytes) -> list[bytes]:
+        """What the merge list makes of a few bytes, one merge after the other, the first in the list first."""
+        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
+        while any(r is not None for r in pairs):
+            best = min(r for r in pairs if r is not None)
+            at = pairs.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at])
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1])
+        return parts
 
     def encode_bytes(self, piece: Iterable[int]) -> Iterator[list[int]]:
         """Ids of one pre-token given as bytes, emitted once no longer token can change them."""
-        window, start = bytearray(), 0  # the bytes not yet emitted, and the place of their first
-        last: dict[int, bytes] = {}  # the last token of the prefix that ends at a place
-        end = 0
+        stream = Prefixes(self)
         for byte in piece:
+            if ids := stream.feed((byte,)):
+                yield ids
+        if ids := stream.close():
+            yield ids
+
+
+class Prefixes:
+    """The last token of every prefix of one pre-token that may still change."""
+
+    def __init__(self, of: Transducer):
+        self.of, self.window = of, bytearray()  # the bytes not yet emitted
+        self.start = self.end = 0  # their places
+        self.last: dict[int, bytes] = {}  # the last token of the prefix that ends at a place
+
+    def feed(self, data: Iterable[int]) -> list[int]:
+        ids: list[int] = []
+        ranks, sizes, apart, last, window, limit = self.of.ranks, self.of.sizes, self.of.apart, self.last, self.window, 4 * self.of.reach
+        for byte in data:
             window.append(byte)
-            end += 1
-            for size in range(min(self.reach, end - start), 0, -1):
-                token = bytes(window[end - start - size :])
-                if token not in self.ranks or (end - size > start and end - size not in last):
+            self.end = end = self.end + 1
+            start, token = self.start, bytes(window[-1:])
+            for size in sizes.get(bytes(window[-2:]), ()) if end - start > 1 else ():
+                if size > end - start:
                     continue
-                if end - size == start:
-                    before = last.get(start)
-                    if before is None or self._fit(before, token):
-                        last[end] = token
-                        break
-                elif self._fit(last[end - size], token):
-                    last[end] = token
+                token = bytes(window[end - start - size :])
+                if token in ranks and ((before := last.get(end - size)) is None or apart(before, token)):
                     break
-            if end - start >= 4 * self.reach:
-                stable = self._agreed(last, start, end)
-                if stable > start:
-                    yield self._chain(last, start, stable)
-                    del window[: stable - start]
-                    last = {place: token for place, token in last.items() if place >= stable}
-                    start = stable
-        if end > start:
-            yield self._chain(last, start, end)
-
-    def _agreed(self, last: dict[int, bytes], start: int, end: int) -> int:
-        """The last place that lies on the way back from every prefix still in reach."""
-        common: set[int] | None = None
-        for place in range(max(start + 1, end - self.reach + 1), end + 1):
-            way, at = {start}, place
-            while at > start and at in last:
-                way.add(at)
-                at -= len(last[at])
-            common = way if common is None else common & way
-        return max(common) if common else start
-
-    def _chain(self, last: dict[int, bytes], start: int, end: int) -> list[int]:
+                token = b""
+            last[end] = token or bytes(window[-1:])
+            if end - start >= limit and (stable := self._agreed()) > start:
+                ids += self._chain(stable)
+                del window[: stable - start]
+                for place in range(start, stable):
+                    last.pop(place, None)
+                self.start = stable
+        return ids
+
+    def close(self) -> list[int]:
+        return self._chain(self.end) if self.end > self.start else []
+
+    def _agreed(self) -> int:
+        """The last place that all prefixes within a longest token's reach go back through."""
+        open_ = set(range(self.end - self.of.reach + 1, self.end + 1))
+        for place in range(self.end, self.start, -1):
+            if len(open_) == 1:
+                break
+            if place in open_:
+                open_.remove(place)
+                open_.add(place - len(self.last[place]))
+        return min(open_)
+
+    def _chain(self, end: int) -> list[int]:
         ids, at = [], end
-        while at > start:
-            ids.append(self.ranks[last[at]])
-            at -= len(last[at])
+        while at > self.start:
+            ids.append(self.of.ranks[self.last[at]])
+            at -= len(self.last[at])
         return ids[::-1]
 
 
@@ -175,7 +251,11 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = Transducer(load_ranks(path))
         for batch in batches:
-            lists = [transducer.encode(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=[key, out])
+            ids, ends = array("i"), [0]
+            for text in batch.column(1).to_pylist():
+                transducer.encode_into(text, ids)
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, out])
 
     return docs.select(key, text).mapInArrow(run, schema)

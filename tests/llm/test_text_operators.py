@@ -130,3 +130,33 @@ def test_long_pre_tokens_of_any_letters_digits_or_marks_go_through_the_automaton
     for text in (" " + "abcdefgh" * 9, "1234567" * 9, "x" + "-=+*" * 15, "ab1" * 5 + "qwertyuio" * 8 + "'s", "été" * 20, "\n" + " " * 50 + "a"):
         seen.clear()
         assert coder.encode(text) == coder.coder.encode_ordinary(text) and seen, text
+
+
+def test_groups_count_links_of_copies_without_making_them(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PART", 3)
+    base = list(range(40))
+    rows = [(i, base) for i in range(17)] + [(50 + i, base[:38]) for i in range(8)] + [(90, list(range(500, 540))), (91, []), (92, None), (3, base)]
+    frame = spark.createDataFrame(rows, "k long, s array<long>")
+    pairs = near_duplicates.similar_pairs(frame, "k", "s")
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    near = [*range(17), *range(50, 58)]
+    assert got == {(a, b) for a in near for b in near if a < b} and pairs.count() == len(got)
+    want = {r["k"]: (r["component"], r["links"]) for r in near_duplicates.classes(frame, "k", pairs).collect()}
+    assert {r["k"]: (r["component"], r["links"]) for r in near_duplicates.groups(frame, "k", "s").collect()} == want and want[3] == (0, 24)
+
+
+def test_a_table_computes_only_what_it_names(spark):
+    docs = spark.createDataFrame([(1, "!?" * 200 + " a b c" * 30), (2, None)], "doc_id long, text string")
+    rows = repetition.repetition(docs, thresholds=(("symbol_share", ">", 0.3, 50),)).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "words", "symbol_share", "broken"} and rows[0]["broken"] == ["symbol_share"] and rows[1]["broken"] == []
+    foreign = spark.createDataFrame([(1, "slovo drugoe " * 40)], "doc_id long, text string")
+    assert "stop_word_share" in repetition.repetition(foreign).first()["broken"]
+
+
+def test_blocks_of_any_size_stream_the_same_ids(ranks):
+    rng = random.Random(8)
+    t = tokenization.Transducer(ranks)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "'", "re", " ", "  ", "\n", "1", "é", "!", "s", "ll", " "]) for _ in range(rng.randrange(80)))
+        t.block = rng.choice([3, 4, 5, 9])
+        assert t.encode(text) == t.coder.encode_ordinary(text), (text, t.block)
