@@ -76,13 +76,16 @@ class Transducer:
         return ids.tolist()
 
     def encode_into(self, text: str | None, ids: array) -> None:
-        if not text:
-            return
-        if len(text) <= self.block:
-            self._pieces(self.pieces.findall(text), ids)
-        else:
-            for part in self.encode_blocks(text[i : i + self.block] for i in range(0, len(text), self.block)):
-                ids.extend(part)
+        """The ids of a text that is here whole: one pre-token after the other."""
+        if text:
+            self._pieces((m[0] for m in self.pieces.finditer(text)) if len(text) > self.block else self.pieces.findall(text), ids)
+
+    def encode_stream(self, blocks: Iterable[str]) -> list[int]:
+        """The ids of a text that comes in blocks."""
+        ids = array("i")
+        for part in self.encode_blocks(blocks):
+            ids.extend(part)
+        return ids.tolist()
 
     def encode_blocks(self, blocks: Iterable[str]) -> Iterator[array]:
         """Ids as soon as they are final.

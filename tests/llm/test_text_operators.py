@@ -158,5 +158,9 @@ def test_blocks_of_any_size_stream_the_same_ids(ranks):
     t = tokenization.Transducer(ranks)
     for _ in range(400):
         text = "".join(rng.choice(["a", "'", "re", " ", "  ", "\n", "1", "é", "!", "s", "ll", " "]) for _ in range(rng.randrange(80)))
-        t.block = rng.choice([3, 4, 5, 9])
-        assert t.encode(text) == t.coder.encode_ordinary(text), (text, t.block)
+        t.block, size = rng.choice([3, 4, 5, 9]), rng.randrange(1, 9)
+        blocks = [text[i : i + size] for i in range(0, len(text), size)]
+        assert t.encode_stream(blocks) == t.encode(text) == t.coder.encode_ordinary(text), (text, t.block, size)
+    for text in ("x" * 9000, " " * 9000 + "a", "7" * 9000 + "'re", "a" * 5000 + " " * 5000 + "!" * 5000 + "é"):
+        t.block = 256
+        assert t.encode_stream(text[i : i + 100] for i in range(0, len(text), 100)) == t.coder.encode_ordinary(text)
