@@ -21,7 +21,7 @@ def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.changed_since_last_good(table(spark, sf_dir, "file_state"), table(spark, sf_dir, "index_runs"), "run_id", "path", ["sha1", "index_version"], "sha1", "mtime_ns")
+    return incremental.changed_since_last_good(table(spark, sf_dir, "file_state"), table(spark, sf_dir, "index_runs"), "run_id", "path", ["sha1", "index_version"], "sha1", "mtime_ns", clock="seen_at")
 
 
 QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p6_found": p6_found}

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its size, known before the join, is at most this many rows.
-BROADCAST_ROWS = 20_000
-
 
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
@@ -37,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's, or, only where none is set, one of this machine."""
+    """The folder that all executors share: the session's; where none is set, one of this machine if it is all there is."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
     return f"{named or os.path.join(tempfile.gettempdir(), 'codeloom-checkpoints')}/codeloom-{spark.sparkContext.applicationId}"
 
 
@@ -92,8 +92,3 @@ def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` uses it many times but it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a table that came as few files."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(slots, 1), *keys) if keys else df.repartition(max(slots, 1))
