@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,6 +80,11 @@ def release(*tables: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def scan(tables: list[DataFrame]) -> DataFrame:
+    """All rows of tables of one schema written by ``checkpoint``, by one scan, however many they are."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._codeloom_table for t in tables])
+
+
 def checkpoint_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
     """A checkpoint, and how many of its rows meet the condition, counted as they are written."""
     seen = Observation()
@@ -88,6 +93,19 @@ def checkpoint_counting(df: DataFrame, condition: Column | None = None) -> tuple
     return done, int(seen.get["n"])
 
 
+def dense_rank(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """The rows numbered from 1 in a total order, without bringing them into one task.
+
+    They are sorted by ranges; a range is numbered in itself, and on from the rows of the ranges before it, of which
+    there is one count each.
+    """
+    placed = checkpoint(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` uses it many times but it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

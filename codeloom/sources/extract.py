@@ -56,29 +56,28 @@ def status(facts: DataFrame) -> DataFrame:
 
 
 def rows_of(facts: DataFrame, part: str, seq: str) -> DataFrame:
-    """The facts of one kind as rows, with a sequence number that follows file and place."""
+    """The facts of one kind as rows, with their place in the file; file and place together are a key."""
     fields = [f.name for f in facts.schema[part].dataType.elementType.fields]
     rows = facts.select("file", "language", "confidence", F.posexplode(part).alias("_at", "_r"))
-    number = F.shiftleft(F.pmod(F.xxhash64("file"), F.lit(1 << 42)), 20) + F.col("_at")
-    return rows.select(number.alias(seq), "file", "language", "confidence", *[F.col(f"_r.{f}").alias(f) for f in fields])
+    return rows.select(F.col("_at").alias(seq), "file", "language", "confidence", *[F.col(f"_r.{f}").alias(f) for f in fields])
 
 
 def resolved_imports(facts: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
-    """(file, module, bindings, line, resolved, confidence, is_relative): each import with the first file it may mean.
+    """(file, import_seq, module, bindings, line, resolved, confidence, is_relative): each import with the first file it may mean.
 
     A Python ``from package import name`` whose name is a module of its own becomes an import of that module.
     """
     known = paths.select(F.col(path).alias("_c")).distinct()
-    specs = rows_of(facts, "imports", "_id").select("_id", "file", "module", "level", "bindings", "line")
-    named = specs.filter("level >= 0").select("_id", "file", "module", "level", "line", F.posexplode_outer("bindings").alias("_n", "b"))
+    specs = rows_of(facts, "imports", "import_seq").select(F.concat_ws(":", "import_seq", "file").alias("_id"), "import_seq", "file", "module", "level", "bindings", "line")
+    named = specs.filter("level >= 0").select("_id", "import_seq", "file", "module", "level", "line", F.posexplode_outer("bindings").alias("_n", "b"))
     joined = F.when(F.col("module") == "", F.col("b.name")).otherwise(F.concat_ws(".", "module", F.col("b.name")))
-    named = named.withColumn("_sub", F.when(F.col("b.name").isNotNull() & (F.col("b.name") != "*"), joined)).withColumn("_id", F.concat_ws(":", F.col("_id").cast("string"), F.col("_n").cast("string")))
+    named = named.withColumn("_sub", F.when(F.col("b.name").isNotNull() & (F.col("b.name") != "*"), joined)).withColumn("_id", F.concat_ws(":", F.col("_n").cast("string"), "_id"))
     named = named.withColumn("_cand", R.module_candidates(F.col("file"), F.col("module"), F.col("level"))).withColumn("_subs", F.when(F.col("_sub").isNotNull(), R.module_candidates(F.col("file"), F.col("_sub"), F.col("level"))))
     named = R.first_match(R.first_match(named, "_cand", known, "_c", "_whole"), "_subs", known, "_c", "_part")
     part = F.col("_part").isNotNull() & ~F.coalesce(F.col("_part") == F.col("_whole"), F.lit(False))
-    python = named.select("file", F.when(part, F.col("_sub")).otherwise(F.col("module")).alias("module"), "line", F.when(part, F.struct(F.lit(None).cast("string").alias("name"), F.col("b.alias").alias("alias"))).otherwise(F.col("b")).alias("b"), F.when(part, F.col("_part")).otherwise(F.col("_whole")).alias("resolved"), (F.col("level") > 0).alias("is_relative"))
-    python = python.groupBy("file", "module", "line", "resolved", "is_relative").agg(F.collect_list("b").alias("bindings"))
+    python = named.select("file", "import_seq", "_n", F.when(part, F.col("_sub")).otherwise(F.col("module")).alias("module"), "line", F.when(part, F.struct(F.lit(None).cast("string").alias("name"), F.col("b.alias").alias("alias"))).otherwise(F.col("b")).alias("b"), F.when(part, F.col("_part")).otherwise(F.col("_whole")).alias("resolved"), (F.col("level") > 0).alias("is_relative"))
+    python = python.groupBy("file", "import_seq", "module", "line", "resolved", "is_relative").agg(F.sort_array(F.collect_list(F.struct("_n", "b"))).alias("bs")).withColumn("bindings", F.filter(F.transform("bs", lambda x: x["b"]), lambda b: b.isNotNull())).drop("bs")
     script = specs.filter("level < 0").withColumn("_cand", R.specifier_candidates(F.col("file"), F.col("module")))
-    script = R.first_match(script, "_cand", known, "_c", "resolved").select("file", "module", "line", "resolved", F.col("module").startswith(".").alias("is_relative"), "bindings")
+    script = R.first_match(script, "_cand", known, "_c", "resolved").select("file", "import_seq", "module", "line", "resolved", F.col("module").startswith(".").alias("is_relative"), "bindings")
     both = python.unionByName(script)
-    return both.select("file", "module", "bindings", "line", "resolved", F.when(F.col("resolved").isNotNull(), "confirmed").otherwise("inferred").alias("confidence"), "is_relative")
+    return both.select("file", "import_seq", "module", "bindings", "line", "resolved", F.when(F.col("resolved").isNotNull(), "confirmed").otherwise("inferred").alias("confidence"), "is_relative")

@@ -77,3 +77,21 @@ def test_claims(spark):
 
 def test_frontmatter(spark):
     assert one(spark, X.frontmatter(F.col("t")), t="---\nname: x\ndescription: a: b\n---\nbody") == {"name": "x", "description": "a: b"}
+
+
+def test_patterns_from_word_tables(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.functions import text as X
+
+    rows = [("- [ ] TODO: x", True), ("  > * **FIXME** (me)", True), ("TODOS: x", False), ("a TODO: x", False), ("1. HACK : x", True), ("## XXX(y)", True), ("text <!-- TODO -->", True), ("- TODO x", False)]
+    frame = spark.createDataFrame(rows, "line string, want boolean")
+    assert frame.filter(X.prose_marker(F.col("line")) != F.col("want")).count() == 0
+    names = [(n, w) for w, many in ((True, ("a/.env", ".env.local", "x.PEM", "id_rsa.pub", "credentials.json", "tokens.json", "a.token")), (False, ("env", "my.env", "pem", "credentials.yaml", "x.tokens"))) for n in many]
+    assert spark.createDataFrame(names, "p string, want boolean").filter(X.secret_name(F.col("p")) != F.col("want")).count() == 0
+    joined = spark.createDataFrame([("r/", "./a/b"), ("r", "../x"), ("r", "/etc"), ("r", "c:\\x"), ("r", None)], "root string, p string").select(X.safe_join(F.col("root"), F.col("p")).alias("j"))
+    assert [r["j"] for r in joined.collect()] == ["r/a/b", None, None, None, None]
+    claim = "Verification:\n- `pytest -q` - PASSED\n* ruff check : fail\ncodeloom verify — NOT VERIFIED\n\nlater: x - PASS\nAll the tests now pass."
+    got = spark.createDataFrame([(claim,)], "t string").select(X.model_claims(F.col("t")).alias("c")).first()["c"]
+    assert got["steps"] == {"pytest -q": "PASS", "ruff check": "FAIL"} and got["verdict"] == "NOT VERIFIED" and got["prose_pass"]
+    assert spark.range(1).select(X.edge_line(F.lit("sym:a.py::f"), F.lit("calls"), F.lit("sym:b.py::g"), F.lit("inferred"), F.lit(3))).first()[0] == "a.py::f calls b.py::g (inferred, line 3)"
