@@ -10,9 +10,10 @@ from codeloom.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = hierarchy.symbol_links(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "bases"))
-    pairs = hierarchy.ancestor_pairs(nodes, edges)
-    return pairs.select(F.col("tree").alias("link"), F.least("node", "above").alias("node_a"), F.greatest("node", "above").alias("node_b")).distinct()
+    forest = hierarchy.numbered(*hierarchy.symbol_links(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "bases")))
+    # Ids are in the order of the names; of two nodes on a cycle both pairs are one row.
+    pairs = hierarchy.id_pairs(forest).select(F.greatest("id", "above").alias("id"), F.least("id", "above").alias("above")).distinct()
+    return hierarchy.named(pairs, forest.names).select(F.col("tree").alias("link"), F.col("above").alias("node_a"), F.col("node").alias("node_b"))
 
 
 def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
