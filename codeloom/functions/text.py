@@ -197,7 +197,7 @@ def lines_of(text: Column) -> Column:
 
 def code_tokens(text: Column) -> Column:
     """Tokens of all lines that are neither blank nor led by a comment mark."""
-    kept = F.filter(lines_of(text), lambda x: ~F.trim(x).rlike(r"^(?:#|//|\*|/\*|$)"))
+    kept = F.filter(lines_of(text), lambda x: ~x.rlike(r"^\s*(?:#|//|\*|/\*|$)"))
     return F.flatten(F.transform(kept, lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))))
 
 

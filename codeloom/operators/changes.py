@@ -88,6 +88,16 @@ def unrelated(changes: DataFrame, imports: DataFrame, scope: list[str] | None =
     return group.join(best, "component", "left_anti").select("path")
 
 
+def project_scope(changes: DataFrame) -> DataFrame:
+    """(projects): the sub-projects of the changed code, as a sorted array; empty if none or if the root's own is among them.
+
+    changes: kind, status, project.
+    """
+    code = changes.filter(is_code(F.col("kind")) & (F.col("status") != "D"))
+    held = code.agg(F.array_sort(F.collect_set("project")).alias("p"))
+    return held.select(F.when(F.array_contains("p", "."), F.array().cast("array<string>")).otherwise(F.col("p")).alias("projects"))
+
+
 def reasons(changes: DataFrame, imports: DataFrame, collisions: DataFrame, bypasses: DataFrame | None = None, resembling: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """(level, reason): every signal of the change as a row."""
     t = totals(changes)

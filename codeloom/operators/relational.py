@@ -109,8 +109,8 @@ def specifier_candidates(path: Column, specifier: Column) -> Column:
     return F.when(specifier.startswith("."), F.transform(F.array(*[F.lit(t) for t in tails]), lambda t: F.concat(base, t))).otherwise(F.array().cast("array<string>"))
 
 
-def longest_prefix(rows: DataFrame, path: str, roots: DataFrame, root: str, out: str, default: str = ".") -> DataFrame:
-    """rows with the longest root that is a folder above the path, by one equi-join over the folders above it.
+def longest_prefix(rows: DataFrame, path: str, roots: DataFrame, root: str, out: str, default: str = ".", shortest: bool = False) -> DataFrame:
+    """rows with the longest root (or the shortest) that is a folder above the path, by one equi-join over the folders above it.
 
     A root of one character never wins.
     """
@@ -118,7 +118,7 @@ def longest_prefix(rows: DataFrame, path: str, roots: DataFrame, root: str, out:
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     up = rows.select(path).distinct().select(path, F.explode(above).alias("_r"))
     known = roots.select(F.col(root).alias("_r")).filter(F.length("_r") > 1).distinct()
-    best = up.join(known, "_r", "left_semi").groupBy(path).agg(F.max_by("_r", F.length("_r")).alias(out))
+    best = up.join(known, "_r", "left_semi").groupBy(path).agg((F.min_by if shortest else F.max_by)("_r", F.length("_r")).alias(out))
     return rows.join(best, path, "left").withColumn(out, F.coalesce(out, F.lit(default)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.runtime import dense_rank
 
 
 def once(events: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -37,6 +38,33 @@ def supersede(items: DataFrame, key: str, order: list[str], item: str) -> DataFr
     return items.withColumn("superseded_by", later).withColumn("status", F.when(F.col("superseded_by").isNull(), "current").otherwise("superseded"))
 
 
+TERMINAL = ("superseded", "deprecated")
+
+
+def superseded_items(items: DataFrame, successors: DataFrame, key: str = "id", inherited: tuple[str, ...] = ()) -> DataFrame:
+    """The items after successors have come: all of both, with status and superseded_by.
+
+    A successor names the item that it supersedes, if any, and takes over that item's inherited fields where its own are
+    null or empty. An item is superseded by the least successor that names it. Items whose status is terminal stay as they
+    are, and what names one, or an unknown item, comes out with status rejected and changes nothing.
+    """
+    columns = [key, "status", "updated", *inherited]
+    named = items.select(F.col(key).alias("_old"), F.col("status").alias("_status"), *[F.col(c).alias(f"_{c}") for c in inherited])
+    asked = F.coalesce(F.col("supersedes").cast("string"), F.lit("")) != ""
+    met = successors.join(named, F.col("supersedes") == F.col("_old"), "left")
+    bad = asked & (F.col("_old").isNull() | F.col("_status").isin(*TERMINAL))
+
+    def filled(c: str) -> Column:
+        kind = items.schema[c].dataType.typeName()
+        gone = F.col(c).isNull() | (F.size(c) == 0 if kind == "array" else F.col(c).cast("string") == "")
+        return F.when(gone & ~bad, F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c)
+
+    fresh = met.select(key, F.when(bad, "rejected").otherwise(F.col("status")).alias("status"), "updated", *[filled(c) for c in inherited], F.lit(None).cast(items.schema[key].dataType).alias("superseded_by"), F.when(asked & ~bad, F.col("_old")).alias("_replaces"))
+    by = fresh.filter("_replaces is not null").groupBy(F.col("_replaces").alias(key)).agg(F.min(key).alias("_by"), F.min_by("updated", key).alias("_when"))
+    old = items.join(by, key, "left").select(key, F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status")).alias("status"), F.coalesce("_when", "updated").alias("updated"), *inherited, F.col("_by").alias("superseded_by"))
+    return old.unionByName(fresh.select(*columns, "superseded_by"))
+
+
 def task_state(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, assumptions, questions, state): a task frame folded from its changes.
 
@@ -105,5 +133,5 @@ def stop_gate(stops: DataFrame, key: str, order: list[str], cap: int = 2) -> Dat
 def trimmed_log(events: DataFrame, order: list[str], limit: int = 1000, keep: int = 500) -> DataFrame:
     """The log as it is, or its newest rows once it has outgrown the limit."""
     total = events.agg(F.count("*").alias("_total"))
-    ranked = events.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*[F.desc(c) for c in order])))
+    ranked = dense_rank(events, [F.desc(c) for c in order], "_n")
     return ranked.join(F.broadcast(total), F.lit(True)).filter((F.col("_total") <= limit) | (F.col("_n") <= keep)).drop("_n", "_total")

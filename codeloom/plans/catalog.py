@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import records, reference
+from codeloom.plans import graph_queries, more_queries, records, reference
 
 FLAGSHIP = "fun01_02_classify"
-QUERIES = {**records.QUERIES, **reference.QUERIES}
-ORACLES = {**records.ORACLES, **reference.ORACLES}
+MODULES = (records, reference, graph_queries, more_queries)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

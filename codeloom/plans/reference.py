@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators import changes as C
 from codeloom.operators import components as G8
-from codeloom.operators import graph as G
 from codeloom.operators import relational as R
 from codeloom.operators import similarity as S
 from codeloom.operators import state as ST
-from codeloom.runtime import table
+from codeloom.runtime import checkpoint, table
+from codeloom.plans.registry import registrar
 from codeloom.sources import extract as E
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
+query = registrar(QUERIES, ORACLES)
 
-    return register
 
+def _files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row a path of columns without the text: repeated rows count once."""
+    return table(spark, d, "files").select("path", *columns).dropDuplicates(["path"])
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
-    """One row a path: repeated rows count once."""
-    return table(spark, d, "files").dropDuplicates(["path"])
+
+def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Every row with its text, repeats too: they are removed from what comes of it, so that no text is shuffled."""
+    return table(spark, d, "files").select("path", *columns, "text")
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a language with an extractor, by their path; the language that the table states is often wrong."""
+    return _texts(spark, d, "file_seq").withColumn("language", X.language_of(F.col("path"))).filter(F.col("language").isin(*E.EXTRACTORS))
 
 
 _F = "(SELECT DISTINCT ON (path) * FROM files)"
@@ -67,9 +70,9 @@ def _case_classify() -> str:
 
 @query(_case_classify())
 def fun01_02_classify(spark: SparkSession, d: str) -> DataFrame:
-    rows = _files(spark, d).withColumn("_l", X.language_of(F.col("path")))
+    rows = _texts(spark, d, "is_text").withColumn("_l", X.language_of(F.col("path")))
     kind = X.classify(F.col("path"), F.col("_l"), X.header_of(F.coalesce("text", F.lit(""))), F.col("is_text"))
-    return rows.select("path", F.col("_l").alias("language"), kind.alias("k")).select("path", "language", "k.kind", "k.reason")
+    return rows.select("path", F.col("_l").alias("language"), kind.alias("k")).select("path", "language", "k.kind", "k.reason").dropDuplicates(["path"])
 
 
 _STOPS = ", ".join(f"'{w}'" for w in X.STOP_TERMS)
@@ -95,7 +98,8 @@ def fun11_mentioned_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS folder, count(*) AS files, sum(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END) AS lines FROM {_F} GROUP BY 1")
 def fun14_19_folder_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).groupBy(X.top_dir(F.col("path")).alias("folder")).agg(F.count("*").alias("files"), F.sum(X.line_count(F.col("text"))).alias("lines"))
+    rows = _texts(spark, d).select("path", X.line_count(F.col("text")).alias("n")).dropDuplicates(["path"])
+    return rows.groupBy(X.top_dir(F.col("path")).alias("folder")).agg(F.count("*").alias("files"), F.sum("n").alias("lines"))
 
 
 @query("SELECT file, CASE max(CASE confidence WHEN 'confirmed' THEN 0 WHEN 'inferred' THEN 1 WHEN 'unknown' THEN 2 END) WHEN 0 THEN 'confirmed' WHEN 1 THEN 'inferred' WHEN 2 THEN 'unknown' ELSE 'confirmed' END AS weakest FROM symbols GROUP BY file")
@@ -103,16 +107,32 @@ def fun16_weakest_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").groupBy("file").agg(X.worst(F.col("confidence"), X.CONFIDENCES).alias("weakest"))
 
 
-@query()
+_SOURCE = "regexp_matches(lower(path), '[^./]\\.(py|pyi|js|mjs|cjs|jsx|ts|tsx|mts|cts)$')"
+_TOKEN = X.TOKEN.replace("*+", "*").replace("'", "''")
+_WORDS = ", ".join(f"'{w}'" for w in X.CODE_WORDS)
+_LINES = "string_split(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n$', ''), chr(10))"
+
+
+def _token_sets(rows: str, text: str, *keep: str) -> str:
+    """CTEs t, n and c: the tokens of a text column, the same normalised, and how many there are and how many runs of four."""
+    kept = ", ".join(keep)
+    runs = lambda c: f"CASE WHEN len({c}) >= 4 THEN len(list_distinct(list_transform(range(1, len({c}) - 2), lambda i: {c}[i:i + 3]))) ELSE 0 END"
+    lines = _LINES.replace("text", f"coalesce({text}, '')")
+    return f"""t AS (SELECT {kept}, flatten(list_transform(list_filter({lines}, lambda x: NOT regexp_matches(x, '^\\s*(#|//|\\*|/\\*|$)')), lambda x: regexp_extract_all(x, '{_TOKEN}'))) AS t FROM {rows}),
+n AS (SELECT *, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z_$]') AND x NOT IN ({_WORDS}) THEN '_' ELSE x END) AS u FROM t),
+c AS (SELECT {kept}, len(t) AS tokens, {runs("t")} AS exact, {runs("u")} AS normalised FROM n)"""
+
+
+@query(f"WITH {_token_sets(f'(SELECT * FROM {_F} WHERE {_SOURCE})', 'text', 'path')} SELECT * FROM c")
 def fun06_08_shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     tokens = X.code_tokens(F.coalesce("text", F.lit("")))
-    rows = _files(spark, d).filter(F.col("language").isin("python", "javascript", "typescript")).select("path", tokens.alias("t"))
-    return rows.select("path", F.size("t").alias("tokens"), F.size(X.shingles(F.col("t"))).alias("exact"), F.size(X.shingles(X.normalised(F.col("t")))).alias("normalised"))
+    rows = _sources(spark, d).select("path", tokens.alias("t"))
+    return rows.select("path", F.size("t").alias("tokens"), F.size(X.shingles(F.col("t"))).alias("exact"), F.size(X.shingles(X.normalised(F.col("t")))).alias("normalised")).dropDuplicates(["path"])
 
 
 @query()
 def fun25_26_markers(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("path", F.explode(X.marker_lines(F.col("path"), F.coalesce("text", F.lit("")))).alias("m")).select("path", "m.line", "m.text")
+    return _texts(spark, d).select("path", F.explode(X.marker_lines(F.col("path"), F.coalesce("text", F.lit("")))).alias("m")).select("path", "m.line", "m.text").dropDuplicates(["path", "line"])
 
 
 @query()
@@ -126,12 +146,12 @@ _SQL_SECRET = "-----BEGIN [A-Z ]*PRIVATE KEY-----|\\bAIza[0-9A-Za-z_-]{30,}|\\bs
 
 @query(f"SELECT path FROM {_F} WHERE regexp_matches(text, '{_SQL_SECRET}')")
 def fun29_secret_files(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).filter(X.holds_secret(F.col("text"))).select("path")
+    return _texts(spark, d).filter(X.holds_secret(F.col("text"))).select("path").distinct()
 
 
 @query(f"SELECT language, count(*) AS lines, count(DISTINCT path) AS files FROM (SELECT path, language, unnest(string_split_regex(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n$', ''), '\\n')) AS row FROM {_F}) WHERE regexp_matches(row, '(^|[^\\w$])token($|[^\\w$])') GROUP BY language")
 def fil01_identifier_lines(spark: SparkSession, d: str) -> DataFrame:
-    return R.identifier_lines(_files(spark, d), "token", keep=("language",)).groupBy("language").agg(F.count("*").alias("lines"), F.count_distinct("path").alias("files"))
+    return R.identifier_lines(_texts(spark, d, "language"), "token", keep=("language",)).dropDuplicates(["path", "line"]).groupBy("language").agg(F.count("*").alias("lines"), F.count_distinct("path").alias("files"))
 
 
 @query(f"WITH s AS {_SY}, n AS (SELECT * FROM s WHERE name = 'token' OR qualname = 'token' OR ends_with(qualname, '.token')) SELECT sym_seq, file, line, 1 AS tier FROM n UNION ALL SELECT sym_seq, file, line, 2 FROM s WHERE lower(name) = 'token' AND NOT EXISTS (FROM n)")
@@ -166,7 +186,7 @@ def join01_module_of_base(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT f.path, coalesce((SELECT arg_max(root, length(root)) FROM project_roots r WHERE starts_with(f.path, r.root || '/') AND length(r.root) > 1), '.') AS project FROM {_F} f")
 def join04_project_of_file(spark: SparkSession, d: str) -> DataFrame:
-    return R.longest_prefix(_files(spark, d).select("path"), "path", table(spark, d, "project_roots"), "root", "project")
+    return R.longest_prefix(_files(spark, d), "path", table(spark, d, "project_roots"), "root", "project")
 
 
 @query("""
@@ -230,7 +250,9 @@ def join12_similar_bodies(spark: SparkSession, d: str) -> DataFrame:
     return S.similar_pairs(table(spark, d, "bodies"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE pr AS (SELECT a, b FROM ({_SIM}) WHERE kind = 'duplicate'), li AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr),
+re AS (SELECT a AS node, a AS other FROM li UNION SELECT re.node, li.b FROM re JOIN li ON li.a = re.other) SELECT node, min(other) AS component FROM re GROUP BY node""")
 def gra08_duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return G8.components(S.similar_pairs(table(spark, d, "bodies")).filter("kind = 'duplicate'"))
 
@@ -240,12 +262,12 @@ def gra08_duplicate_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH f AS (SELECT coalesce(kind, '') AS kind, coalesce(language, '') AS language, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS folder, lines FROM {_F}) SELECT 'kind' AS dimension, kind AS value, count(*) AS files, coalesce(sum(lines), 0) AS lines FROM f GROUP BY kind UNION ALL SELECT 'language', language, count(*), coalesce(sum(lines), 0) FROM f GROUP BY language UNION ALL SELECT 'folder', folder, count(*), coalesce(sum(lines), 0) FROM f GROUP BY folder")
 def agg01_inventory_summary(spark: SparkSession, d: str) -> DataFrame:
-    return R.inventory_summary(_files(spark, d))
+    return R.inventory_summary(_files(spark, d, "kind", "language", "lines"))
 
 
 @query(f"SELECT language, count(*) AS files FROM {_F} WHERE is_text AND kind IN ('source', 'test', 'script') AND language <> '' AND language NOT IN ('python', 'javascript', 'typescript') GROUP BY language")
 def agg02_unsupported(spark: SparkSession, d: str) -> DataFrame:
-    return R.unsupported(_files(spark, d), list(E.EXTRACTORS), F.col("is_text") & F.col("kind").isin("source", "test", "script"))
+    return R.unsupported(_files(spark, d, "kind", "language", "is_text"), list(E.EXTRACTORS), F.col("is_text") & F.col("kind").isin("source", "test", "script"))
 
 
 @query(f"SELECT root, kind, name, count(DISTINCT file) AS files, count(DISTINCT nullif(signature, '')) AS values, CASE WHEN kind = 'constant' AND count(DISTINCT nullif(signature, '')) = 1 THEN 'same value' WHEN kind = 'constant' THEN 'different values' ELSE 'parallel definitions' END AS verdict FROM {_SY} WHERE kind IN ('function', 'class', 'constant', 'type', 'interface', 'enum') AND exported GROUP BY root, kind, name HAVING count(DISTINCT file) > 1")
@@ -314,7 +336,10 @@ def win01_related(spark: SparkSession, d: str) -> DataFrame:
     return R.related(_symbols(spark, d), _ASK, 10, tests)
 
 
-@query()
+@query(f"""
+WITH b AS ({_related_sql().replace("LIMIT 10", "LIMIT 8")}), t AS (SELECT count(*) FILTER (score >= 4.5) AS strong, count(*) FILTER (score >= 2.5) AS candidates FROM b),
+x AS (SELECT count(*) AS exact_hits FROM {_SY} WHERE name = 'validate_account' OR qualname = 'validate_account' OR ends_with(qualname, '.validate_account'))
+SELECT CASE WHEN exact_hits > 0 THEN 'reuse' WHEN strong > 0 THEN 'extend' WHEN candidates > 0 THEN 'refactor-or-create' ELSE 'create' END AS decision, exact_hits, strong, candidates FROM t, x""")
 def win02_reuse_decision(spark: SparkSession, d: str) -> DataFrame:
     return R.reuse_decision(_symbols(spark, d), _ASK, ["validate_account"])
 
@@ -341,7 +366,7 @@ def win08_recent(spark: SparkSession, d: str) -> DataFrame:
     return events.join(F.broadcast(newest), F.lit(True)).filter(F.col("ts") >= F.col("now") - F.expr("INTERVAL 45 MINUTE")).select("event_id", "ts")
 
 
-@query("SELECT 'M-' || lpad(cast(max(doc_id) + 1 AS VARCHAR), 4, '0') AS next_id FROM documents WHERE doc_id < 9000")
+@query("SELECT 'M-' || CASE WHEN max(doc_id) + 1 > 9999 THEN cast(max(doc_id) + 1 AS VARCHAR) ELSE lpad(cast(max(doc_id) + 1 AS VARCHAR), 4, '0') END AS next_id FROM documents")
 def win10_next_id(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "documents").select(F.concat(F.lit("M-"), F.col("doc_id").cast("string")).alias("id"))
     return R.next_id(items, "id")
@@ -367,7 +392,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     """The change from run 1 to run 3 as a change table: sizes stand for lines."""
     drift = R.drift(_snapshot(spark, d, 1), _snapshot(spark, d, 3), "path", "sha1")
     sizes = table(spark, d, "file_state").filter("run_id in (1, 3) and sha1 is not null").groupBy("path").agg(F.max("size").alias("size"))
-    meta = _files(spark, d).select("path", "kind", "language")
+    meta = _files(spark, d, "kind", "language")
     status = F.when(F.col("change") == "added", "A").when(F.col("change") == "removed", "D").otherwise("M")
     rows = drift.join(sizes, "path").join(meta, "path", "left")
     return rows.select("path", status.alias("status"), F.when(status != "D", F.col("size")).otherwise(0).alias("added"), F.when(status == "D", F.col("size")).otherwise(0).alias("removed"), F.lit(0).alias("whitespace_only"), "kind", "language", F.lit("").alias("old_path"), F.array().cast("array<string>").alias("new_symbols"))
@@ -380,8 +405,7 @@ def agg10_change_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dif03_change_level(spark: SparkSession, d: str) -> DataFrame:
-    facts = E.extract(_files(spark, d).filter(F.col("language").isin(*E.EXTRACTORS)))
-    imports = E.resolved_imports(facts, _files(spark, d))
+    imports = E.resolved_imports(_extracted(spark, d), _files(spark, d))
     none = spark.createDataFrame([], "qualname string, kind string")
     return C.level(C.reasons(_changes(spark, d), imports, none))
 
@@ -398,46 +422,12 @@ def val01_rule_errors(spark: SparkSession, d: str) -> DataFrame:
     return _symbols(spark, d).select("sym_seq", R.rule_errors(rules).alias("errors")).filter(F.size("errors") > 0)
 
 
-# ---------------------------------------------------------------- graph
-
-
-_BE = """be AS (SELECT b.file || '::' || b.qualname AS src, c.node AS dst, min(coalesce(b.line, 0)) AS line FROM bases b JOIN (SELECT DISTINCT file || '::' || qualname AS node, name FROM symbols WHERE kind = 'class') c ON c.name = regexp_extract(b.base, '[^.]*$') WHERE b.file IS NOT NULL AND b.qualname IS NOT NULL GROUP BY 1, 2),
-ed AS (SELECT *, row_number() OVER (ORDER BY src, dst) AS edge_seq FROM be WHERE src <> dst), st AS (SELECT dst AS node FROM ed GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"""
-
-
-def _base_edges(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "symbols").filter("kind = 'class'").select(F.concat_ws("::", "file", "qualname").alias("dst"), F.col("name").alias("short")).distinct()
-    rows = table(spark, d, "bases").dropna(subset=["file", "qualname", "base"]).select(F.concat_ws("::", "file", "qualname").alias("src"), F.element_at(F.split("base", r"\."), -1).alias("short"), F.coalesce("line", F.lit(0)).alias("line"))
-    rows = rows.join(names, "short").groupBy("src", "dst").agg(F.min("line").alias("line")).filter("src <> dst")
-    return rows.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("src", "dst")).cast("long").alias("edge_seq"), "src", "dst", F.lit("extends").alias("kind"), F.lit("inferred").alias("confidence"), "line", F.lit("").alias("note"))
-
-
-def _hub(edges: DataFrame) -> str:
-    return edges.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").first()["dst"]
-
-
-def _levels(depth: int) -> str:
-    sql, seen = "l0 AS (SELECT node, 0 AS depth, 0::BIGINT AS rank FROM st)", "SELECT node FROM l0"
-    for i in range(1, depth + 1):
-        sql += f", l{i} AS (SELECT node, {i} AS depth, row_number() OVER (ORDER BY m) AS rank FROM (SELECT ed.src AS node, min(struct_pack(p := l{i - 1}.rank, e := ed.edge_seq)) AS m FROM ed JOIN l{i - 1} ON ed.dst = l{i - 1}.node WHERE ed.src NOT IN ({seen}) GROUP BY ed.src))"
-        seen += f" UNION ALL SELECT node FROM l{i}"
-    return sql
-
-
-@query(f"WITH {_BE}, {_levels(3)} SELECT node, depth, rank, 'inferred' AS confidence FROM (FROM l1 UNION ALL FROM l2 UNION ALL FROM l3)")
-def gra04_bfs(spark: SparkSession, d: str) -> DataFrame:
-    edges = _base_edges(spark, d)
-    return G.walk(edges, _hub(edges), 3, True).select("node", "depth", "rank", "confidence")
-
-
-@query(f"WITH {_BE} SELECT 'incoming' AS direction, 'extends' AS kind, src AS other, 'inferred' AS confidence, line FROM ed WHERE dst IN (FROM st) UNION ALL SELECT 'outgoing', 'extends', dst, 'inferred', line FROM ed WHERE src IN (FROM st)")
-def gra02_03_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    edges = _base_edges(spark, d)
-    return G.neighbourhood(edges, _hub(edges))
+# ---------------------------------------------------------------- extraction
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    return E.extract(_files(spark, d).filter(F.col("language").isin(*E.EXTRACTORS) & F.col("text").isNotNull()))
+    """The facts of every source file, once a file; read once for all that follows."""
+    return checkpoint(E.extract(_sources(spark, d).filter(F.col("text").isNotNull())).dropDuplicates(["file"]))
 
 
 @query()
@@ -455,19 +445,6 @@ def join02_imports(spark: SparkSession, d: str) -> DataFrame:
     return E.resolved_imports(_extracted(spark, d), _files(spark, d)).select("file", "module", "line", "resolved", "confidence", "is_relative")
 
 
-def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    from codeloom.runtime import checkpoint
-
-    facts = checkpoint(_extracted(spark, d))
-    files = R.longest_prefix(_files(spark, d).select("path", "file_seq", "kind"), "path", table(spark, d, "project_roots"), "root", "project")
-    return G.build_edges(files, table(spark, d, "project_roots"), E.status(facts), E.rows_of(facts, "symbols", "sym_seq"), E.resolved_imports(facts, _files(spark, d)), E.rows_of(facts, "uses", "use_seq"), E.rows_of(facts, "bases", "base_seq"), _files(spark, d).select("path", "kind", "text"))
-
-
-@query()
-def gra01_edge_counts(spark: SparkSession, d: str) -> DataFrame:
-    return graph_edges(spark, d).groupBy("kind", "confidence").agg(F.count("*").alias("edges"))
-
-
 # ---------------------------------------------------------------- state
 
 
@@ -495,7 +472,14 @@ def str05_transition(spark: SparkSession, d: str) -> DataFrame:
     return ST.transitions(_events(spark, d), "user_id", ["ts", "event_id"], "level", X.LEVELS).select("event_id", "user_id", "level", "from_level")
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, event_type, 'e' || (event_id % 7) AS t FROM events),
+a AS (SELECT user_id, t, min(struct_pack(ts := ts, e := event_id)) AS since FROM e WHERE event_type = 'click' GROUP BY ALL),
+q AS (SELECT user_id, t, min(struct_pack(ts := ts, e := event_id)) AS since FROM e WHERE event_type = 'error' GROUP BY ALL),
+a2 AS (SELECT *, EXISTS (FROM e WHERE e.user_id = a.user_id AND e.event_type = 'signup' AND e.t = a.t AND struct_pack(ts := e.ts, e := e.event_id) >= a.since) AS done FROM a),
+q2 AS (SELECT *, EXISTS (FROM e WHERE e.user_id = q.user_id AND e.event_type = 'purchase' AND e.t = q.t AND struct_pack(ts := e.ts, e := e.event_id) >= q.since) AS done FROM q),
+u AS (SELECT DISTINCT user_id FROM events), ac AS (SELECT user_id, count(*) AS n, count(*) FILTER (NOT done) AS open FROM a2 GROUP BY user_id), qc AS (SELECT user_id, count(*) AS n, count(*) FILTER (NOT done) AS open FROM q2 GROUP BY user_id)
+SELECT user_id, coalesce(ac.n, 0) AS assumptions, coalesce(qc.n, 0) AS questions, CASE WHEN coalesce(qc.open, 0) > 0 THEN 'blocked' WHEN coalesce(ac.open, 0) > 0 THEN 'awaiting-confirmation' ELSE 'clear' END AS state FROM u LEFT JOIN ac USING (user_id) LEFT JOIN qc USING (user_id)""")
 def str07_decision_state(spark: SparkSession, d: str) -> DataFrame:
     text, is_ = F.concat(F.lit("e"), (F.col("event_id") % 7).cast("string")), lambda k: F.col("event_type") == k
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(is_("click"), text).alias("assumption"), F.lit(True).alias("material"), F.when(is_("error"), text).alias("question"), F.when(is_("purchase"), text).alias("resolve"), F.lit("").alias("answer"), F.when(is_("signup"), text).alias("confirm"))

@@ -49,12 +49,55 @@ def unavailable(status: DataFrame, supported: list[str], cap: int = 10) -> DataF
 
 
 def references(uses: DataFrame, imports: DataFrame, lines: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
-    """(section, file, line): confirmed uses, imports that mention the name, and text hits on no line of either and no definition."""
-    sure = uses.filter(F.element_at(F.split("name", r"\."), -1) == name).select(F.lit("use").alias("section"), "file", "line")
-    told = imports.filter(F.exists("bindings", lambda b: b["name"] == name)).select(F.lit("import").alias("section"), "file", "line")
-    known = sure.unionByName(told).select("file", "line").union(R.symbols_named(symbols, name).select("file", "line")).distinct()
-    text = lines.select(F.lit("text").alias("section"), F.col("path").alias("file"), "line").join(known, ["file", "line"], "left_anti")
-    return sure.unionByName(told).unionByName(text.select("section", "file", "line"))
+    """(section, file, line): confirmed uses, imports that mention the name, and text hits on no line of either and no definition.
+
+    Rows are distinct. A use on the line of a definition is none.
+    """
+    short = name.rpartition(".")[2]
+    defined = R.symbols_named(symbols, name).select("file", "line").distinct()
+    sure = uses.filter(F.element_at(F.split("name", r"\."), -1) == short).select(F.lit("use").alias("section"), "file", "line").join(defined, ["file", "line"], "left_anti")
+    told = imports.filter(F.exists("bindings", lambda b: (b["name"] == short) | (b["alias"] == short))).select(F.lit("import").alias("section"), "file", "line")
+    sure = sure.select("section", "file", "line").unionByName(told).distinct()
+    known = sure.select("file", "line").union(defined).distinct()
+    text = lines.select(F.col("path").alias("file"), "line").distinct().join(known, ["file", "line"], "left_anti")
+    return sure.unionByName(text.select(F.lit("text").alias("section"), "file", "line"))
+
+
+def dependencies(imports: DataFrame) -> DataFrame:
+    """(path, target, names, imports): what each file takes from where; target is null for what no file of the workspace is.
+
+    imports: file, resolved, name.
+    """
+    return imports.groupBy(F.col("file").alias("path"), F.col("resolved").alias("target")).agg(F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("imports"))
+
+
+def symbols_in(symbols: DataFrame) -> DataFrame:
+    """(file, sym_seq, kind, summary): the symbols of files, each in a line with its number."""
+    signed = F.when(F.coalesce("signature", F.lit("")) != "", F.concat(F.lit(" "), "signature")).otherwise("")
+    return symbols.select("file", "sym_seq", "kind", F.concat(F.coalesce(F.col("line").cast("string"), F.lit("")), F.lit(": "), "qualname", signed).alias("summary"))
+
+
+def _tests_of(homes: DataFrame, project: DataFrame) -> DataFrame:
+    return homes.filter("kind = 'test'").join(F.broadcast(project.select("project")), "project", "left_semi").select("path")
+
+
+def tests_for_symbol(homes: DataFrame, symbols: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """(path, mentions): test files that mention a symbol, of the project of its first definition.
+
+    homes: path, kind, project; texts: path, text. Where nothing bears the name the project is the root's.
+    """
+    owner = R.symbols_named(symbols, name).join(homes.select(F.col("path").alias("file")), "file", "left_semi").agg(F.min("file").alias("path"))
+    project = owner.join(homes.select("path", "project"), "path", "left").select(F.coalesce("project", F.lit(".")).alias("project"))
+    lines = R.identifier_lines(texts, name.rpartition(".")[2], paths=_tests_of(homes, project)).dropDuplicates(["path", "line"])
+    return lines.groupBy("path").agg(F.count("*").alias("mentions"))
+
+
+def importers_in_project(homes: DataFrame, imports: DataFrame, target: str, kind: str | None = None) -> DataFrame:
+    """(path, mentions): files of a target's own project that import it; of one kind, if given."""
+    project = homes.filter(F.col("path") == target).select("project")
+    near = homes.join(F.broadcast(project), "project", "left_semi")
+    near = near if kind is None else near.filter(F.col("kind") == kind)
+    return imports.filter(F.col("resolved") == target).join(near.select(F.col("path").alias("file")), "file", "left_semi").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("mentions"))
 
 
 def note_rules() -> list[tuple[Column, str]]:
@@ -85,6 +128,8 @@ def note_problems(notes: DataFrame, today: str) -> DataFrame:
         notes.filter((F.coalesce("expires", F.lit("")) != "") & (F.col("expires") < today)).select("id", F.lit("expired").alias("problem")),
         current.join(twice, "key", "left_semi").select("id", F.lit("conflict").alias("problem")),
         current.filter("status = 'unresolved'").select("id", F.lit("open").alias("problem")),
+        # Weak: a fact that is only inferred and has nothing to show for it.
+        current.filter((F.col("category") == "fact") & (F.col("status") == "inferred") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)).select("id", F.lit("weak fact").alias("problem")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -117,11 +162,143 @@ def reconciled(claims: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return met.select(key, status.alias("status"))
 
 
-#: The checks that a manifest or language calls for.
-STEPS = (("pytest", r"(?:^|/)(?:pyproject\.toml|setup\.cfg|pytest\.ini|conftest\.py)$"), ("npm test", r"(?:^|/)package\.json$"), ("tsc", r"(?:^|/)tsconfig\.json$"), ("cargo test", r"(?:^|/)cargo\.toml$"), ("go test", r"(?:^|/)go\.mod$"))
+def contradictions(claims: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """(key, command, claimed, determined): claimed steps that a recorded step of another status meets.
+
+    claims: steps, a map from command to status; records: ran, fresh, step_results, a map from a step's name to its status.
+    A step is met by the first record whose name is part of the command or the other way round; a name counts from its last
+    colon on. Only what ran on the tree as it is decides.
+    """
+    fresh = records.filter(F.coalesce(F.col("ran") & F.col("fresh"), F.lit(False)))
+    known = F.transform(F.map_entries("step_results"), lambda e: F.struct(F.trim(F.element_at(F.split(e["key"], ":"), -1)).alias("name"), F.upper(e["value"]).alias("status")))
+    met = claims.join(fresh.select(key, known.alias("known")), key).select(key, F.explode("steps").alias("command", "claimed"), "known")
+    hit = F.get(F.filter("known", lambda k: (k["name"] != "") & (F.contains(F.col("command"), k["name"]) | F.contains(k["name"], F.col("command")))), 0)
+    return met.select(key, "command", "claimed", hit["status"].alias("determined")).filter("determined is not null and determined <> claimed")
+
+
+def finding_counts(rows: DataFrame, kind: str = "kind") -> DataFrame:
+    """(kind, findings): how many findings there are of each kind."""
+    return rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("findings"))
+
+
+def run_verdict(scores: DataFrame, run: str, required: str, score: str, order: tuple[str, ...]) -> DataFrame:
+    """(run, verdict): the worst of a run's required scores; the best of the order where none is required."""
+    return scores.groupBy(run).agg(X.worst(F.when(F.col(required), F.col(score)), order).alias("verdict"))
+
+
+def matching_skills(skills: DataFrame, intent: str, limit: int) -> DataFrame:
+    """(name, description, overlap): the skills whose description shares most words with an intent; of one name the first.
+
+    skills: seq, name, description. Without an intent the first names, whatever they share.
+    """
+    one = skills.groupBy("name").agg(F.min_by("description", "seq").alias("description"))
+    asked = F.size(F.array_intersect(X.terms(F.coalesce("description", F.lit(""))), X.terms(F.lit(intent)))) if intent else F.lit(0)
+    rows = one.withColumn("overlap", asked)
+    return (rows.filter("overlap > 0") if intent else rows).orderBy(F.desc("overlap"), "name").limit(limit)
+
+
+#: Kinds of findings whose evidence shows no file.
+NOT_EVIDENCE = ("next", "memory", "handoff", "skills", "rules", "decision")
+
+
+def surfaced_files(rows: DataFrame, files: DataFrame, text: str, kind: str | None = None) -> DataFrame:
+    """(path): files that exist and that the text of findings names; findings of kinds that show none are left out."""
+    shown = rows if kind is None else rows.filter(~F.col(kind).isin(*NOT_EVIDENCE))
+    return shown.select(F.explode(X.mentioned_paths(F.col(text))).alias("path")).distinct().join(files.select("path"), "path", "left_semi")
+
+
+#: How many findings of each section a brief keeps, and of each part a context.
+BRIEF_CAPS = {"direct-caller": 8, "indirect-caller": 4, "dependent-file": 8, "related-type": 4, "test": 5, "config": 3}
+CONTEXT_CAPS = {"handoff": 1, "memory": 6, "brief": 18, "skills": 3, "rules": 3}
+
+
+def brief(sections: DataFrame, consequences: DataFrame, decision: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """(section, rank, item, confidence): what to know before an edit: the sections of an impact within their caps, what they
+    come to, whether something can be reused, and how many changes are open already."""
+    near = R.capped(sections.filter(F.col("section").isin(*BRIEF_CAPS)), ["section"], [F.col("depth"), F.col("node")], BRIEF_CAPS)
+    parts = [
+        near.select("section", "rank", F.col("node").alias("item"), "confidence"),
+        consequences.select(F.lit("consequence").alias("section"), F.lit(1).alias("rank"), F.concat_ws(" ", "finding", F.col("amount").cast("string")).alias("item"), "confidence"),
+    ]
+    if decision is not None:
+        parts.append(decision.select(F.lit("decision").alias("section"), F.lit(1).alias("rank"), F.col("decision").alias("item"), F.lit("inferred").alias("confidence")))
+    if changes is not None:
+        open_ = changes.agg(F.count("*").alias("n")).filter("n > 0")
+        parts.append(open_.select(F.lit("workspace-state").alias("section"), F.lit(1).alias("rank"), F.concat(F.col("n").cast("string"), F.lit(" uncommitted change(s)")).alias("item"), F.lit("confirmed").alias("confidence")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def context(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, rank, item): handoff, memory, brief, skills and rules in one table, each within its cap.
+
+    Each part: rank, item. A brief's notes on open changes are left out.
+    """
+    rows = [d.select(F.lit(name).alias("part"), F.col("rank").alias("_order"), "item") for name, d in parts.items()]
+    return R.capped(reduce(DataFrame.unionByName, rows), ["part"], [F.col("_order"), F.col("item")], CONTEXT_CAPS).select("part", "rank", "item")
+
+
+def verdict(reasons: DataFrame, step_results: DataFrame, markers: DataFrame, uncovered: DataFrame) -> DataFrame:
+    """(verdict, outstanding, advisories): verified if a step ran, none failed and nothing is outstanding; advisories never decide.
+
+    step_results: step, status; outstanding are failed steps and added markers, advisories the signals of the change and
+    changed code without a test.
+    """
+    n = lambda d, name: d.agg(F.count("*").alias(name))
+    bad = step_results.filter(F.col("status").isin("fail", "timeout"))
+    ran = step_results.filter(F.col("status").isin("pass", "fail", "timeout"))
+    one = n(bad, "failed").join(n(ran, "ran"), F.lit(True)).join(n(markers, "markers"), F.lit(True)).join(n(reasons, "signals"), F.lit(True)).join(n(uncovered, "uncovered"), F.lit(True))
+    ok = (F.col("ran") > 0) & (F.col("failed") == 0) & (F.col("markers") == 0)
+    return one.select(F.when(ok, "verified").otherwise("not verified").alias("verdict"), (F.col("failed") + F.col("markers")).alias("outstanding"), (F.col("signals") + F.col("uncovered")).alias("advisories"))
+
+
+#: The scripts of a package that are checks, and the command that stands where there is no test.
+NPM_SCRIPTS, NPM_NO_TEST = ("test", "lint", "typecheck", "build"), "no test specified"
 
 
 def steps(files: DataFrame, project: str = "project") -> DataFrame:
-    """(project, step): the verification steps that the files of each project call for."""
-    rules = F.array(*[F.when(F.lower("path").rlike(pattern), F.lit(step)) for step, pattern in STEPS])
-    return files.select(project, F.explode(rules).alias("step")).filter("step is not null").distinct()
+    """(project, step): the verification steps that the files of each project call for.
+
+    files: project, path, and where they are known kind, language and text: what a manifest configures is read from its text,
+    and counts only in the project's own folder.
+    """
+    have = set(files.columns)
+    of = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    own = F.when(F.col(project) == ".", F.col("path")).otherwise(F.expr(f"substring(path, length({project}) + 2)"))
+    rows = files.select(F.col(project).alias("project"), own.alias("name"), of("kind").alias("kind"), of("language").alias("language"), F.coalesce(of("text"), F.lit("")).alias("text"))
+    toml, package = F.col("name") == "pyproject.toml", F.col("name") == "package.json"
+    script = lambda s: F.get_json_object("text", f"$.scripts.{s}")
+    runs = lambda s: package & F.coalesce((script(s) != "") & ~script(s).contains(NPM_NO_TEST), F.lit(False))
+    rules = {
+        "pytest": (F.col("kind") == "test") & (F.col("language") == "python") | toml & F.col("text").contains("pytest") | F.col("name").isin("pytest.ini", "tox.ini"),
+        "ruff": (F.col("name") == "ruff.toml") | toml & F.col("text").contains("[tool.ruff"),
+        "mypy": (F.col("name") == "mypy.ini") | toml & F.col("text").contains("[tool.mypy"),
+        **{f"npm {s}": runs(s) for s in NPM_SCRIPTS},
+        "tsc": F.col("name") == "tsconfig.json",
+        "cargo test": F.col("name") == "Cargo.toml",
+        "go test": F.col("name") == "go.mod",
+    }
+    called = rows.select("project", "name", F.explode(F.array(*[F.when(rule, F.lit(step)) for step, rule in rules.items()])).alias("step"), (package & script("typecheck").isNotNull()).alias("_types"), package.alias("_package"))
+    found = called.filter("step is not null").select("project", "step").distinct()
+    # The compiler alone is a step of a package that has no script for types.
+    packages = called.groupBy("project").agg(F.max("_package").alias("_package"), F.max(F.coalesce("_types", F.lit(False))).alias("_types"))
+    return found.join(packages, "project").filter((F.col("step") != "tsc") | F.col("_package") & ~F.col("_types")).select("project", "step")
+
+
+def run_steps(root: str, commands: dict[str, list[str]], timeout: int = 600) -> list[tuple[str, str, int | None]]:
+    """(step, status, exit code): commands run on the driver one after the other; never on executors."""
+    import shutil
+    import subprocess
+
+    results: list[tuple[str, str, int | None]] = []
+    for step, argv in commands.items():
+        if shutil.which(argv[0]) is None:
+            results.append((step, "unavailable", None))
+            continue
+        try:
+            code = subprocess.run(argv, cwd=root, capture_output=True, timeout=timeout).returncode
+            results.append((step, "pass" if code == 0 else "fail", code))
+        except subprocess.TimeoutExpired:
+            results.append((step, "timeout", None))
+        except OSError:
+            results.append((step, "unavailable", None))
+    return results
