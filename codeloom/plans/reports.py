@@ -119,17 +119,16 @@ def note_rules() -> list[tuple[Column, str]]:
 
 
 def note_problems(notes: DataFrame, today: str) -> DataFrame:
-    """(id, problem): invalid, dangling, expired, conflicting and open notes."""
+    """(id, problem): invalid, dangling, expired, conflicting, open and weak notes."""
     current = notes.filter(R.is_current(F.col("status"), F.col("expires"), today))
     twice = R.conflicts(current.filter(F.coalesce("key", F.lit("")) != ""), ["key"], "id").select("key")
     parts = [
         notes.select("id", F.explode(R.rule_errors(note_rules())).alias("problem")),
         *[R.dangling(notes, c, notes, "id").select("id", F.lit(f"dangling {c}").alias("problem")) for c in ("supersedes", "superseded_by")],
-        notes.filter((F.coalesce("expires", F.lit("")) != "") & (F.col("expires") < today)).select("id", F.lit("expired").alias("problem")),
+        notes.filter((F.col("status") == "temporary") & (F.coalesce("expires", F.lit("")) != "") & (F.col("expires") < today)).select("id", F.lit("expired").alias("problem")),
         current.join(twice, "key", "left_semi").select("id", F.lit("conflict").alias("problem")),
-        current.filter("status = 'unresolved'").select("id", F.lit("open").alias("problem")),
-        # Weak: a fact that is only inferred and has nothing to show for it.
-        current.filter((F.col("category") == "fact") & (F.col("status") == "inferred") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)).select("id", F.lit("weak fact").alias("problem")),
+        current.filter("status = 'unresolved' or category = 'unresolved'").select("id", F.lit("open").alias("problem")),
+        notes.filter((F.col("status") == "inferred") & F.col("category").isin("fact", "convention")).select("id", F.lit("weak fact").alias("problem")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -259,9 +258,10 @@ def steps(files: DataFrame, project: str = "project") -> DataFrame:
     """(project, step): the verification steps that the files of each project call for.
 
     files: project, path, and where they are known kind, language and text: what a manifest configures is read from its text,
-    and counts only in the project's own folder.
+    and counts only in the project's own folder. Without texts a manifest calls for the tests that it usually configures.
     """
     have = set(files.columns)
+    unread = F.lit("text" not in have)
     of = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     own = F.when(F.col(project) == ".", F.col("path")).otherwise(F.expr(f"substring(path, length({project}) + 2)"))
     rows = files.select(F.col(project).alias("project"), own.alias("name"), of("kind").alias("kind"), of("language").alias("language"), F.coalesce(of("text"), F.lit("")).alias("text"))
@@ -269,10 +269,10 @@ def steps(files: DataFrame, project: str = "project") -> DataFrame:
     script = lambda s: F.get_json_object("text", f"$.scripts.{s}")
     runs = lambda s: package & F.coalesce((script(s) != "") & ~script(s).contains(NPM_NO_TEST), F.lit(False))
     rules = {
-        "pytest": (F.col("kind") == "test") & (F.col("language") == "python") | toml & F.col("text").contains("pytest") | F.col("name").isin("pytest.ini", "tox.ini"),
+        "pytest": (F.col("kind") == "test") & (F.col("language") == "python") | toml & (unread | F.col("text").contains("pytest")) | F.col("name").isin("pytest.ini", "tox.ini"),
         "ruff": (F.col("name") == "ruff.toml") | toml & F.col("text").contains("[tool.ruff"),
         "mypy": (F.col("name") == "mypy.ini") | toml & F.col("text").contains("[tool.mypy"),
-        **{f"npm {s}": runs(s) for s in NPM_SCRIPTS},
+        **{f"npm {s}": runs(s) | package & unread & F.lit(s == "test") for s in NPM_SCRIPTS},
         "tsc": F.col("name") == "tsconfig.json",
         "cargo test": F.col("name") == "Cargo.toml",
         "go test": F.col("name") == "go.mod",

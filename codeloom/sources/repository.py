@@ -102,6 +102,23 @@ def read_repository(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("file_seq", "path", "size", "mtime_ns", "is_text", F.sha1("content").alias("sha1"), text.alias("text"))
 
 
+def inventory(files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """The files with language, kind, reason, lines and, where roots (root) are given, the project that each lies in."""
+    from codeloom.functions import text as X
+    from codeloom.operators.relational import longest_prefix
+
+    rows = files.withColumn("language", X.language_of(F.col("path")))
+    kind = X.classify(F.col("path"), F.col("language"), X.header_of(F.coalesce("text", F.lit(""))), F.col("is_text"))
+    rows = rows.withColumn("_k", kind).select("*", "_k.kind", "_k.reason", X.line_count(F.col("text")).alias("lines")).drop("_k")
+    return rows if roots is None else longest_prefix(rows, "path", roots, roots.columns[0], "project")
+
+
+def project_roots(files: DataFrame) -> DataFrame:
+    """(root): the folders that hold a manifest; ``.`` for the top one."""
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
+    return files.filter("kind = 'manifest'").select(folder.alias("root")).distinct()
+
+
 def to_extract(files: DataFrame, state: DataFrame, version: int) -> DataFrame:
     """Files whose facts cannot be reused: no row of this index version has their size and time, or else their SHA-1."""
     same = state.filter(F.col("index_version") == version)
@@ -109,6 +126,12 @@ def to_extract(files: DataFrame, state: DataFrame, version: int) -> DataFrame:
     return by_stat.join(same.select("path", "sha1"), ["path", "sha1"], "left_anti")
 
 
+def merged_facts(fresh: DataFrame, old: DataFrame, files: DataFrame) -> DataFrame:
+    """The facts (file, ...) of the files there are: the fresh ones, and for all other files those of before."""
+    kept = old.join(fresh.select("file"), "file", "left_anti").join(files.select(F.col("path").alias("file")), "file", "left_semi")
+    return fresh.unionByName(kept)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSON-lines file, and its lines that are no objects of the schema."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
@@ -149,3 +172,32 @@ def git_lines(root: str, *args: str) -> list[str]:
     """Lines of a git command's output, run on the driver; none if git fails."""
     done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=60)
     return done.stdout.splitlines() if done.returncode == 0 else []
+
+
+def git_changes(spark: SparkSession, root: str, base: str | None = None, staged: bool = False) -> DataFrame:
+    """(path, status, added, removed, whitespace_only, old_path, kind, language): the change of a work tree.
+
+    Against a base, staged, or, with neither, everything against HEAD, untracked files included. git runs on the driver; its
+    lines are parsed as columns.
+    """
+    from codeloom.functions import text as X
+    from codeloom.operators import changes as C
+
+    against = [base] if base else ["--cached"] if staged else ["HEAD"]
+    frame = lambda lines: spark.createDataFrame([(x,) for x in lines], "row string")
+    counts = lambda *more: frame(git_lines(root, "diff", "-M", *more, "--numstat", *against)).select(C.numstat(F.col("row")).alias("n")).select("n.*")
+    parts = F.split("row", "\t")
+    named = frame(git_lines(root, "diff", "-M", "--name-status", *against)).select(F.substring(F.get(parts, 0), 1, 1).alias("status"), F.element_at(parts, -1).alias("path"), F.when(F.col("row").startswith("R"), F.get(parts, 1)).otherwise("").alias("old_path"))
+    bare = counts("-w").select("path", F.col("added").alias("_w"))
+    rows = named.join(counts(), "path", "left").join(bare, "path", "left")
+    rows = rows.select("path", "status", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("removed", F.lit(0)).alias("removed"), C.whitespace_only(F.coalesce("added", F.lit(0)), F.col("_w")).alias("whitespace_only"), "old_path")
+    if not base and not staged:
+        fresh = []
+        for rel in git_lines(root, "ls-files", "--others", "--exclude-standard"):
+            with open(os.path.join(root, rel), "rb") as f:
+                content = f.read()
+            if b"\x00" not in content:
+                fresh.append((rel, "A", content.count(b"\n") + (1 if content and not content.endswith(b"\n") else 0), 0, 0, ""))
+        rows = rows.unionByName(spark.createDataFrame(fresh, "path string, status string, added int, removed int, whitespace_only int, old_path string"))
+    rows = rows.withColumn("language", X.language_of(F.col("path")))
+    return rows.withColumn("kind", X.classify(F.col("path"), F.col("language"), F.lit(""), F.lit(True))["kind"])
