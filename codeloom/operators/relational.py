@@ -242,6 +242,12 @@ def related(symbols: DataFrame, query: str, limit: int = 10, test_paths: DataFra
     return scored.select(key, "file", "line", "kind", "qualname", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "file", "line", key).limit(limit)
 
 
+def recent(rows: DataFrame, time: str, seconds: int) -> DataFrame:
+    """The rows of the last seconds before the newest one, which is the clock; rows without a time are none of them."""
+    newest = rows.agg(F.max(time).alias("_now"))
+    return rows.join(F.broadcast(newest), F.lit(True)).filter(F.col(time) >= F.col("_now") - F.make_dt_interval(secs=F.lit(seconds))).drop("_now")
+
+
 STRONG, WEAK = 4.5, 2.5
 
 

@@ -67,3 +67,8 @@ def similar_pairs(bodies: DataFrame, key: str = "sym_seq", targets: DataFrame |
     kind = F.when(at_least("x", "xu", DUPLICATE), "duplicate").when(at_least("s", "su", STRUCTURAL), "structural").when(copy, "modified-copy")
     ratio = lambda p, w: F.round(F.when(F.col(w) > 0, F.col(p) / F.col(w)).otherwise(0.0), 6)
     return both.filter(F.col("s") >= SHARED).withColumn("kind", kind).filter("kind is not null").select("a", "b", "kind", ratio("x", "xu").alias("exact"), ratio("s", "su").alias("structural"), ratio("x", "m").alias("contained"))
+
+
+def best_pairs(pairs: DataFrame, limit: int) -> DataFrame:
+    """The pairs most alike, by exact and then structural similarity, then by key."""
+    return pairs.orderBy(F.desc("exact"), F.desc("structural"), "a", "b").limit(limit)

@@ -201,11 +201,6 @@ def join15_evidence_window(spark: SparkSession, d: str) -> DataFrame:
     return R.evidence_in_window(buys, past, "user_id", "ts", 45 * 60, "l", ["event_id"]).select("event_id", "evidence", "evidence_event_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def join17_anti(spark: SparkSession, d: str) -> DataFrame:
-    return R.without(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
-
-
 _SNAP = "(SELECT path, arg_max(sha1, mtime_ns) AS sha1 FROM (SELECT path, mtime_ns, max(sha1) AS sha1 FROM file_state WHERE run_id = {} AND sha1 IS NOT NULL GROUP BY path, mtime_ns) GROUP BY path)"
 
 
@@ -222,12 +217,6 @@ def join19_snapshot_drift(spark: SparkSession, d: str) -> DataFrame:
     return R.drift(_snapshot(spark, d, 1), _snapshot(spark, d, 3), "path", "sha1")
 
 
-@query(f"WITH d AS ({_DRIFT}), g AS (SELECT d.path, s.sha1, row_number() OVER (PARTITION BY s.sha1 ORDER BY d.path) AS n FROM d JOIN {_SNAP.format(1)} s USING (path) WHERE change = 'removed'), m AS (SELECT d.path, s.sha1, row_number() OVER (PARTITION BY s.sha1 ORDER BY d.path) AS n FROM d JOIN {_SNAP.format(3)} s USING (path) WHERE change = 'added') SELECT g.path AS old_key, m.path AS new_key FROM g JOIN m USING (sha1, n)")
-def dif01_renames(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _snapshot(spark, d, 1), _snapshot(spark, d, 3)
-    return R.renames(R.drift(old, new, "path", "sha1"), old, new, "path", "sha1")
-
-
 @query("SELECT DISTINCT b.file, b.qualname, b.base FROM bases b WHERE b.base IS NOT NULL AND b.base <> '' AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.name = b.base)")
 def join20_dangling_bases(spark: SparkSession, d: str) -> DataFrame:
     return R.dangling(table(spark, d, "bases").select("file", "qualname", "base").distinct(), "base", table(spark, d, "symbols"), "name").select("file", "qualname", "base")
@@ -344,14 +333,6 @@ def win02_reuse_decision(spark: SparkSession, d: str) -> DataFrame:
     return R.reuse_decision(_symbols(spark, d), _ASK, ["validate_account"])
 
 
-@query("SELECT doc_id, score FROM (SELECT doc_id, created_at, CASE WHEN lang = 'en' THEN 2 ELSE 0 END + CASE WHEN source = 'issue' THEN 4 ELSE 0 END + CASE WHEN contains(lower(text), 'retry') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'cache') THEN 1 ELSE 0 END AS score FROM documents) WHERE score > 0 ORDER BY score DESC, created_at DESC NULLS LAST, doc_id LIMIT 20")
-def win03_scored_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    has = lambda w: F.when(F.lower("text").contains(w), 1).otherwise(0)
-    score = F.when(F.col("lang") == "en", 2).otherwise(0) + F.when(F.col("source") == "issue", 4).otherwise(0) + has("retry") + has("cache")
-    rows = table(spark, d, "documents").select("doc_id", "created_at", score.alias("score")).filter("score > 0")
-    return rows.orderBy(F.desc("score"), F.desc_nulls_last("created_at"), "doc_id").limit(20).select("doc_id", "score")
-
-
 @query(f"SELECT kind, name, file, rank FROM (SELECT kind, name, file, row_number() OVER (PARTITION BY kind ORDER BY end_line - line DESC NULLS LAST, sym_seq) AS rank FROM {_SY}) WHERE rank <= CASE kind WHEN 'class' THEN 3 WHEN 'function' THEN 8 ELSE 2 END")
 def win06_per_kind_caps(spark: SparkSession, d: str) -> DataFrame:
     caps = {"class": 3, "function": 8}
@@ -362,8 +343,7 @@ def win06_per_kind_caps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 45 MINUTE")
 def win08_recent(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    newest = events.agg(F.max("ts").alias("now"))
-    return events.join(F.broadcast(newest), F.lit(True)).filter(F.col("ts") >= F.col("now") - F.expr("INTERVAL 45 MINUTE")).select("event_id", "ts")
+    return R.recent(events, "ts", 45 * 60).select("event_id", "ts")
 
 
 @query("SELECT 'M-' || CASE WHEN max(doc_id) + 1 > 9999 THEN cast(max(doc_id) + 1 AS VARCHAR) ELSE lpad(cast(max(doc_id) + 1 AS VARCHAR), 4, '0') END AS next_id FROM documents")
@@ -388,40 +368,6 @@ def dif05_06_growth(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("month", "added", "removed", C.growth_shape(F.col("added"), F.col("removed"), F.lit(0)).alias("growth"), C.is_churn(F.col("added"), F.col("removed"), F.col("small")).alias("churn"))
 
 
-def _changes(spark: SparkSession, d: str) -> DataFrame:
-    """The change from run 1 to run 3 as a change table: sizes stand for lines."""
-    drift = R.drift(_snapshot(spark, d, 1), _snapshot(spark, d, 3), "path", "sha1")
-    sizes = table(spark, d, "file_state").filter("run_id in (1, 3) and sha1 is not null").groupBy("path").agg(F.max("size").alias("size"))
-    meta = _files(spark, d, "kind", "language")
-    status = F.when(F.col("change") == "added", "A").when(F.col("change") == "removed", "D").otherwise("M")
-    rows = drift.join(sizes, "path").join(meta, "path", "left")
-    return rows.select("path", status.alias("status"), F.when(status != "D", F.col("size")).otherwise(0).alias("added"), F.when(status == "D", F.col("size")).otherwise(0).alias("removed"), F.lit(0).alias("whitespace_only"), "kind", "language", F.lit("").alias("old_path"), F.array().cast("array<string>").alias("new_symbols"))
-
-
-@query(f"WITH d AS ({_DRIFT}), z AS (SELECT path, max(size) AS size FROM file_state WHERE run_id IN (1, 3) AND sha1 IS NOT NULL GROUP BY path) SELECT count(*) AS files, count(*) FILTER (change = 'added') AS new_files, count(*) FILTER (change = 'removed') AS deleted_files, 0 AS renamed_files, coalesce(sum(size) FILTER (change <> 'removed'), 0) AS added, coalesce(sum(size) FILTER (change = 'removed'), 0) AS removed, coalesce(sum(size) FILTER (change <> 'removed'), 0) - coalesce(sum(size) FILTER (change = 'removed'), 0) AS net, count(DISTINCT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END) AS folders, 0 AS whitespace FROM d JOIN z USING (path)")
-def agg10_change_totals(spark: SparkSession, d: str) -> DataFrame:
-    return C.totals(_changes(spark, d))
-
-
-@query()
-def dif03_change_level(spark: SparkSession, d: str) -> DataFrame:
-    imports = E.resolved_imports(_extracted(spark, d), _files(spark, d))
-    none = spark.createDataFrame([], "qualname string, kind string")
-    return C.level(C.reasons(_changes(spark, d), imports, none))
-
-
-@query(f"""SELECT sym_seq, list_filter([CASE WHEN coalesce(name, '') = '' THEN 'missing name' END, CASE WHEN kind NOT IN ('class', 'function', 'method', 'constant', 'variable', 'interface') THEN 'unknown kind' END, CASE WHEN line < 1 THEN 'line must be positive' END, CASE WHEN end_line < line THEN 'ends before it begins' END, CASE WHEN parent <> '' AND NOT starts_with(qualname, parent || '.') THEN 'parent is no prefix' END], lambda x: x IS NOT NULL) AS errors FROM {_SY} WHERE len(errors) > 0""")
-def val01_rule_errors(spark: SparkSession, d: str) -> DataFrame:
-    rules = [
-        (F.coalesce("name", F.lit("")) == "", "missing name"),
-        (~F.col("kind").isin("class", "function", "method", "constant", "variable", "interface"), "unknown kind"),
-        (F.col("line") < 1, "line must be positive"),
-        (F.col("end_line") < F.col("line"), "ends before it begins"),
-        ((F.col("parent") != "") & ~F.col("qualname").startswith(F.concat("parent", F.lit("."))), "parent is no prefix"),
-    ]
-    return _symbols(spark, d).select("sym_seq", R.rule_errors(rules).alias("errors")).filter(F.size("errors") > 0)
-
-
 # ---------------------------------------------------------------- extraction
 
 
@@ -484,8 +430,3 @@ def str07_decision_state(spark: SparkSession, d: str) -> DataFrame:
     text, is_ = F.concat(F.lit("e"), (F.col("event_id") % 7).cast("string")), lambda k: F.col("event_type") == k
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(is_("click"), text).alias("assumption"), F.lit(True).alias("material"), F.when(is_("error"), text).alias("question"), F.when(is_("purchase"), text).alias("resolve"), F.lit("").alias("answer"), F.when(is_("signup"), text).alias("confirm"))
     return ST.task_state(rows, "user_id", ["ts", "event_id"]).select("user_id", F.size("assumptions").alias("assumptions"), F.size("questions").alias("questions"), "state")
-
-
-@query("SELECT event_id, lead(event_id) OVER w AS superseded_by, CASE WHEN lead(event_id) OVER w IS NULL THEN 'current' ELSE 'superseded' END AS status FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def str10_supersede(spark: SparkSession, d: str) -> DataFrame:
-    return ST.supersede(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_id").select("event_id", "superseded_by", "status")
