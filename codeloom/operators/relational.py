@@ -127,12 +127,21 @@ def without(rows: DataFrame, taken: DataFrame, on: list[str]) -> DataFrame:
 
 
 def evidence_in_window(events: DataFrame, past: DataFrame, key: str, time: str, seconds: float, level: str, keep: list[str]) -> DataFrame:
-    """events, each with the strongest and then latest past row of its key within a window that ends at it, both ends included."""
-    p = past.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.col(level).alias("_l"), *[F.col(c).alias(f"_{c}") for c in keep])
-    gap = events[time].cast("timestamp").cast("double") - p["_t"].cast("timestamp").cast("double")
-    met = events.join(p, (events[key] == p["_k"]) & (p["_t"] <= events[time]) & (gap <= seconds), "left")
-    best = F.max_by(F.struct("_l", *[f"_{c}" for c in keep]), F.when(F.col("_t").isNotNull(), F.struct("_l", "_t", *[f"_{c}" for c in keep])))
-    return met.groupBy(*events.columns).agg(best.alias("_b")).select(*events.columns, F.col("_b._l").alias("evidence"), *[F.col(f"_b._{c}").alias(f"evidence_{c}") for c in keep])
+    """events, each with the strongest and then latest past row of its key within a window that ends at it, both ends included.
+
+    Time is cut into buckets of the window's length and a past row stands in its own and the next, so an event finds all of
+    its window in one bucket of its key, and a key with very many rows stays spread.
+    """
+    length = int(seconds * 1_000_000)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = F.floor(F.col("_t") / length)
+    best = F.struct(F.col(level).alias("l"), F.col(time).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    e = events.select(F.col(key).alias("_k"), micros(time).alias("_t"), F.struct(*events.columns).alias("_e")).withColumn("_b", bucket)
+    p = past.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("_k"), micros(time).alias("_t"), best.alias("_p"))
+    p = p.withColumn("_b", F.explode(F.array(bucket, bucket + 1)))
+    within = Window.partitionBy("_k", "_b").orderBy("_t").rangeBetween(-length, 0)
+    rows = e.unionByName(p, allowMissingColumns=True).withColumn("_m", F.max("_p").over(within)).filter("_e is not null")
+    return rows.select("_e.*", F.col("_m.l").alias("evidence"), *[F.col(f"_m.k{i}").alias(f"evidence_{c}") for i, c in enumerate(keep)])
 
 
 def dangling(rows: DataFrame, link: str, known: DataFrame, key: str) -> DataFrame:
@@ -216,26 +225,22 @@ def related(symbols: DataFrame, query: str, limit: int = 10, test_paths: DataFra
     """
     asked = symbols.sparkSession.range(1).select(X.terms(F.lit(query)).alias("raw")).select(X.keys(F.col("raw")).alias("raw"), X.keys(X.expanded(F.col("raw"))).alias("all")).first()
     raw, wide = asked["raw"], asked["all"]
+    strings = lambda words: F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     name_keys = X.keys(X.terms(F.col("qualname")))
-    total = symbols.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
-    df = symbols.select(F.explode(name_keys).alias("term")).filter(F.col("term").isin(wide)).groupBy("term").agg(F.count("*").alias("df"))
-    words = symbols.sparkSession.createDataFrame([(w, w in raw) for w in wide], "term string, asked boolean")
-    weights = words.join(df, "term", "left").join(total, F.lit(True))
-    weight = F.greatest(F.lit(0.2), F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) / F.log(F.col("total") + 1))
-    weights = weights.select("term", "asked", weight.alias("w"))
+    # One pass counts, and its one row of weights goes to every task; a second pass scores. No row is shuffled.
+    counts = symbols.select(F.array_intersect(name_keys, strings(wide)).alias("nk")).agg(F.greatest(F.count("*"), F.lit(1)).alias("total"), *[F.count(F.when(F.array_contains("nk", w), 1)).alias(f"w{i}") for i, w in enumerate(wide)])
+    weight = lambda i: F.greatest(F.lit(0.2), F.log((F.col("total") + 1) / (F.col(f"w{i}") + 1)) / F.log(F.col("total") + 1))
+    weights = counts.select(F.map_from_arrays(strings(wide), F.array(*[weight(i) for i in range(len(wide))]) if wide else F.array().cast("array<double>")).alias("_w"))
     stem = F.regexp_replace(X.name_of(F.col("file")), r"(?<=[^.])\.[^.]+$", "")
     folder = F.coalesce(F.try_element_at(F.split("file", "/"), F.lit(-2)), F.lit(""))
     rows = symbols.filter((F.col("kind") != "variable") | F.coalesce("exported", F.lit(False))).select(
-        key, "file", "line", "kind", "qualname", name_keys.alias("nk"), X.keys(X.terms(F.coalesce("doc", F.lit("")))).alias("dk"), F.array_union(X.keys(X.terms(stem)), X.keys(X.terms(folder))).alias("fk")
+        key, "file", "line", "kind", "qualname", name_keys.alias("nk"), F.array_intersect(X.keys(X.terms(F.coalesce("doc", F.lit("")))), strings(wide)).alias("dk"), F.array_intersect(F.array_union(X.keys(X.terms(stem)), X.keys(X.terms(folder))), strings(wide)).alias("fk")
     )
-    wide_array = F.array(*[F.lit(w) for w in wide]) if wide else F.array().cast("array<string>")
-    rows = rows.filter(F.arrays_overlap("nk", wide_array) | F.arrays_overlap("dk", wide_array))
-    part_of = lambda column, part: F.transform(F.array_intersect(column, wide_array), lambda t: F.struct(t.alias("term"), F.lit(part).alias("part")))
-    hit = rows.select(key, F.explode(F.concat(part_of("nk", "name"), part_of("dk", "doc"), part_of("fk", "file"))).alias("h")).select(key, "h.term", "h.part")
-    gain = F.when(F.col("part") == "name", F.when(F.col("asked"), 3.0).otherwise(2.0)).when(F.col("part") == "doc", 1.0).otherwise(0.5)
-    sums = hit.join(F.broadcast(weights), "term").groupBy(key).agg(F.sum(gain * F.col("w")).alias("s"), F.count(F.when(F.col("part") == "name", 1)).alias("hits"))
-    score = F.col("s") + F.when(F.size("nk") > 0, 2.0 * F.col("hits") / F.size("nk")).otherwise(0.0) + F.when(F.col("kind").isin("function", "method", "class"), 0.5).otherwise(0.0)
-    scored = rows.join(sums, key).withColumn("score", score)
+    rows = rows.withColumn("hits", F.array_intersect("nk", strings(wide))).filter((F.size("hits") > 0) | (F.size("dk") > 0)).join(F.broadcast(weights), F.lit(True))
+    total = lambda words, gain: F.aggregate(words, F.lit(0.0), lambda s, t: s + gain(t) * F.element_at(F.col("_w"), t))
+    sums = total("hits", lambda t: F.when(F.array_contains(strings(raw), t), 3.0).otherwise(2.0)) + total("dk", lambda t: F.lit(1.0)) + total("fk", lambda t: F.lit(0.5))
+    score = sums + F.when(F.size("nk") > 0, 2.0 * F.size("hits") / F.size("nk")).otherwise(0.0) + F.when(F.col("kind").isin("function", "method", "class"), 0.5).otherwise(0.0)
+    scored = rows.withColumn("score", score)
     if test_paths is not None:
         tests = test_paths.select(F.col(test_paths.columns[0]).alias("file"), F.lit(0.4).alias("_f")).distinct()
         scored = scored.join(tests, "file", "left").withColumn("score", F.col("score") * F.coalesce("_f", F.lit(1.0))).drop("_f")

@@ -39,6 +39,13 @@ r AS (SELECT link, node, up FROM e UNION SELECT r.link, r.node, e.up FROM r JOIN
 """
 
 ORACLES = {
+    "p1_nodes": _LINKS
+    + """, nd AS (SELECT DISTINCT 'parent' AS link, node FROM s UNION ALL SELECT DISTINCT 'base', node FROM c),
+fp AS (SELECT link, node, min(up) AS up FROM e WHERE node <> up GROUP BY ALL), fr AS (SELECT link, node, up FROM fp UNION SELECT fr.link, fr.node, fp.up FROM fr JOIN fp ON fp.link = fr.link AND fp.node = fr.up),
+cut AS (SELECT link, node FROM fr GROUP BY ALL HAVING bool_or(node = up) AND node = min(up)), f AS (SELECT * FROM fp WHERE (link, node) NOT IN (SELECT (link, node) FROM cut)),
+t AS (SELECT link, node, node AS root, 0::BIGINT AS depth, node AS path FROM nd WHERE (link, node) NOT IN (SELECT (link, node) FROM f) UNION ALL SELECT f.link, f.node, t.root, t.depth + 1, t.path || ' > ' || f.node FROM t JOIN f ON f.link = t.link AND f.up = t.node),
+au AS (SELECT link, node, count(*) AS n, bool_or(node = up) AS c FROM r GROUP BY ALL), du AS (SELECT link, up AS node, count(*) AS n FROM r GROUP BY ALL)
+SELECT t.*, coalesce(au.n, 0) AS ancestors, coalesce(du.n, 0) AS descendants, coalesce(au.c, false) AS on_cycle FROM t LEFT JOIN au USING (link, node) LEFT JOIN du USING (link, node)""",
     "p1_found": _LINKS + "SELECT DISTINCT link, least(node, up) AS node_a, greatest(node, up) AS node_b FROM r",
     "p6_found": """
 WITH ok AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS before FROM (SELECT DISTINCT run_id FROM index_runs WHERE status = 'ok')),

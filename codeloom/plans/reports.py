@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators import relational as R
+from codeloom.runtime import dense_rank
 
 COLUMNS = "section_seq int, seq long, kind string, summary string, severity string, confidence string, evidence array<string>"
 #: What a note may be.
@@ -18,14 +19,13 @@ STATUSES = "confirmed evidenced inferred temporary unresolved superseded depreca
 
 def findings(rows: DataFrame, section: int, kind: Column | str, summary: Column, severity: str, confidence: Column | str, evidence: Column, order: Column) -> DataFrame:
     """Rows as findings of one section, numbered by the order; severities and confidences outside the lists raise."""
-    from pyspark.sql import Window
-
     if severity not in X.SEVERITIES:
         raise ValueError(f"severity {severity!r} is not one of {X.SEVERITIES}")
     given = F.lit(confidence) if isinstance(confidence, str) else confidence
     sure = F.when(given.isin(*X.CONFIDENCES), given).otherwise(F.raise_error(F.concat(F.lit("confidence "), given)))
-    number = F.row_number().over(Window.partitionBy(F.lit(section)).orderBy(order)).cast("long")
-    return rows.select(F.lit(section).alias("section_seq"), number.alias("seq"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), summary.alias("summary"), F.lit(severity).alias("severity"), sure.alias("confidence"), evidence.alias("evidence"))
+    made = rows.select((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), summary.alias("summary"), F.lit(severity).alias("severity"), sure.alias("confidence"), evidence.alias("evidence"), order.alias("_order"))
+    ranked = dense_rank(made, ["_order", "kind", "summary"], "seq")
+    return ranked.select(F.lit(section).alias("section_seq"), "seq", "kind", "summary", "severity", "confidence", "evidence")
 
 
 def report(parts: list[DataFrame]) -> DataFrame:

@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     A written table is read with its true size. RDD checkpoints keep the size estimate of the plan they cut, and over a few
     rounds of joins that estimate, a product of products, outgrows the driver's memory. The tables go when the process ends,
-    or by ``release`` before.
+    or before: one by one by ``release``, or all that are made inside of ``scratch``.
     """
     spark = df.sparkSession
     folder = _shared_folder(spark)
@@ -59,10 +61,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     done = spark.read.schema(df.schema).parquet(path)
     done._codeloom_table = path
+    for made in _scratches:
+        made.append(path)
     return done
 
 
 _folders: set[str] = set()
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end; results must have been written before."""
+    made: list[str] = []
+    _scratches.append(made)
+    try:
+        yield
+    finally:
+        _scratches.remove(made)
+        for path in made:
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -93,6 +111,17 @@ def checkpoint_counting(df: DataFrame, condition: Column | None = None) -> tuple
     return done, int(seen.get["n"])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for work that is heavy on each of them: if a table comes in fewer parts than there are cores, dealt out to all.
+
+    A table in more parts stays as it is, without a shuffle; so does what is not read straight from a table.
+    """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def dense_rank(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     """The rows numbered from 1 in a total order, without bringing them into one task.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.runtime import spread
 from codeloom.sources import python_code
 
 LEAST_TOKENS = 25
@@ -58,7 +59,7 @@ def _rows_of_python(files: DataFrame, read: Callable[[str], Iterator[dict]], fie
             yield pa.RecordBatch.from_arrays(columns, names=["path", *[name for name, _ in fields]])
 
     wanted = files.filter(F.col("text").isNotNull() & X.suffix_of(F.col("path")).isin(".py", ".pyi")).select("path", "text")
-    return wanted.mapInArrow(run, f"path string, {schema}")
+    return spread(wanted).mapInArrow(run, f"path string, {schema}")
 
 
 def thin_wrappers(files: DataFrame) -> DataFrame:

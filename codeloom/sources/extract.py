@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import relational as R
+from codeloom.runtime import spread
 from codeloom.sources import python_code, script_code
 from codeloom.sources.python_code import Facts
 
@@ -48,7 +49,7 @@ def extract(files: DataFrame, path: str = "path", language: str = "language", te
             columns += [pa.array([getattr(g, name) for g in got], pa.list_(kind)) for name, kind in _PARTS.items()]
             yield pa.RecordBatch.from_arrays(columns, names=["file", "language", "confidence", "error", "exports", *_PARTS])
 
-    return files.select(F.col(path), F.col(language), F.col(text)).mapInArrow(run, _SCHEMA)
+    return spread(files.select(F.col(path), F.col(language), F.col(text))).mapInArrow(run, _SCHEMA)
 
 
 def status(facts: DataFrame) -> DataFrame:
