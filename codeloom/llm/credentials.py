@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.runtime import spread
+
 #: A word that says that the value of a name is a credential.
 _WORD = r"(?:pass(?:word|wd|phrase|code)|pwd|db_?pass|_pass|secret(?:_?key)?|token|api[_-]?key|access[_-]?key|signing[_-]?key|private[_-]?key|encryption[_-]?key|auth[_-]?key|credentials?)"
 #: A whole dotted name whose last part holds such a word.
@@ -304,7 +306,8 @@ def credentials(files: DataFrame, path: str = "path", text: str = "text") -> Dat
                     lines.append(number)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(lines, pa.int32())], names=[path, "line"])
 
-    return files.filter(F.col(text).isNotNull() & F.col(path).isNotNull() & (F.col(text) != "")).select(path, text).mapInArrow(run, schema).distinct()
+    wanted = files.filter(F.col(text).isNotNull() & F.col(path).isNotNull() & (F.col(text) != "")).select(path, text)
+    return spread(wanted).mapInArrow(run, schema).distinct()
 
 
 def redacted(files: DataFrame, text: str = "text") -> DataFrame:
@@ -316,4 +319,4 @@ def redacted(files: DataFrame, text: str = "text") -> DataFrame:
             i = batch.schema.get_field_index(text)
             yield batch.set_column(i, batch.schema.field(i), pa.array([t and finder.redact(t) for t in batch.column(i).to_pylist()], batch.schema.field(i).type))
 
-    return files.mapInArrow(run, files.schema)
+    return spread(files).mapInArrow(run, files.schema)

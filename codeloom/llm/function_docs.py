@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.grammar import Grammar, Recogniser, none_of
+from codeloom.runtime import spread
 
 #: A description under at least so many different names is a template.
 TEMPLATE_NAMES = 40
@@ -253,7 +254,7 @@ def documented_functions(files: DataFrame, path: str = "path", text: str = "text
             types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[path, "line", "name", "params", "doc", "telling", "template", "code"])
 
-    return wanted.mapInArrow(run, schema)
+    return spread(wanted).mapInArrow(run, schema)
 
 
 def without_templates(functions: DataFrame, names: int = TEMPLATE_NAMES) -> DataFrame:

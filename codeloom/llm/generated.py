@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.repair import grammar_sizes, mix
-from codeloom.runtime import checkpoint
+from codeloom.runtime import checkpoint, spread
 
 #: Grammar size over tokens: below the first a file is generated, below the second if a notice says so.
 REUSE, REUSE_WITH_NOTICE = 0.62, 0.78
@@ -157,7 +157,7 @@ def judged_files(files: DataFrame, path: str = "path", root: str = "root", text:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rules) if rules else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(verdicts, pa.string()), pa.array(copied, pa.bool_()), lists], names=["path", "root", "verdict", "copied", "rules"])
 
-    return wanted.mapInArrow(run, "path string, root string, verdict string, copied boolean, rules array<long>")
+    return spread(wanted).mapInArrow(run, "path string, root string, verdict string, copied boolean, rules array<long>")
 
 
 def not_hand_written(files: DataFrame, path: str = "path", root: str = "root", text: str = "text") -> DataFrame:

@@ -11,12 +11,14 @@ results: null and empty texts leak nothing; items of fewer than ``n`` words cann
 rows and items count once; further columns are not looked at.
 
 The items are read by the driver in blocks of at most ``BLOCK_WORDS`` words; each block makes one
-automaton and one pass over the documents, so any number of items will do.
+automaton and one pass over the documents, so any number of items will do. A worker process builds the
+automaton of a block once and keeps it for its further tasks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.runtime import spread
+
 #: Words of test items that one automaton holds at most.
 BLOCK_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
@@ -165,6 +169,17 @@ def _blocks(items: DataFrame, key: str, text: str, n: int) -> Iterator[list[tupl
         yield block
 
 
+_kept: dict[str, Automaton] = {}
+
+
+def _automaton(mark: str, block: list[tuple[int, list[str]]], n: int) -> Automaton:
+    """The automaton of a block, as this process has built it; the one of another block makes room."""
+    if mark not in _kept:
+        _kept.clear()
+        _kept[mark] = Automaton(block, n)
+    return _kept[mark]
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 13) -> DataFrame:
     """(key, item_key, longest, leaked_words, words): each document with each item that it leaks.
 
@@ -174,10 +189,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     schema = T.StructType([key_type, T.StructField(item_key, item_type.dataType), T.StructField("longest", T.IntegerType()), T.StructField("leaked_words", T.IntegerType()), T.StructField("words", T.IntegerType())])
     session, result = docs.sparkSession, None
     for block in _blocks(items, item_key, item_text, n):
-        shared = session.sparkContext.broadcast(block)  # bounded by BLOCK_WORDS
+        shared, mark = session.sparkContext.broadcast(block), uuid.uuid4().hex  # bounded by BLOCK_WORDS
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, n)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, mark=mark) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(mark, shared.value, n)
             code = automaton.codes.get
             for batch in batches:
                 keys, items_, longest, covered, sizes = [], [], [], [], []
@@ -197,7 +212,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     names=schema.names,
                 )
 
-        part = docs.filter(F.length(text) >= 2 * n - 1).select(key, text).mapInArrow(run, schema)
+        part = spread(docs.filter(F.length(text) >= 2 * n - 1).select(key, text)).mapInArrow(run, schema)
         result = part if result is None else result.unionByName(part)
     return session.createDataFrame([], schema) if result is None else result.distinct()
 
@@ -209,10 +224,10 @@ def scrub(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     """
     result = docs
     for block in _blocks(items, item_key, item_text, n):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, mark = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches, shared=shared):
-            automaton = Automaton(shared.value, n)
+        def run(batches, shared=shared, mark=mark):
+            automaton = _automaton(mark, shared.value, n)
             code = automaton.codes.get
             for batch in batches:
                 place = batch.schema.get_field_index(text)

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.components import components
-from codeloom.runtime import checkpoint
+from codeloom.operators.copies import carried, twins
+from codeloom.runtime import checkpoint, spread
 
 ROWS, BANDS, WORDS = 4, 48, 3
 MINIMA = ROWS * BANDS
@@ -76,7 +77,7 @@ def sketches(sets: DataFrame, key: str, values: str, seed: int = 7) -> DataFrame
 
     # An array of longs without nulls is a set here already, or is made one.
     clean = sets.select(F.col(key), F.array_distinct(F.array_compact(values)).alias("v")).filter(F.col(key).isNotNull() & (F.size("v") > 0))
-    return clean.mapInArrow(run, schema)
+    return spread(clean).mapInArrow(run, schema)
 
 
 def compared(sets: DataFrame, key: str, values: str, numerator: int = 7, denominator: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -110,30 +111,12 @@ def similar_pairs(sets: DataFrame, key: str, values: str, numerator: int = 7, de
     return _with_copies(*compared(sets, key, values, numerator, denominator))
 
 
-def _parts(n: Column) -> Column:
-    return F.ceil(n / PART).cast("int")
-
-
 def _with_copies(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """Pairs of representatives, carried over to the copies, and the pairs of copies themselves.
-
-    A group of copies is dealt out to parts of about ``PART`` keys, and the parts are paired, so no task holds more than
-    the pairs of two parts.
-    """
-    dealt = member.withColumn("part", F.pmod(F.xxhash64("key"), _parts(F.col("n"))).cast("int"))
-    groups = member.groupBy("rep").agg(F.first("n").alias("n"))
-
-    def carried(rows: DataFrame, end: str) -> DataFrame:
-        spread = rows.join(groups.select(F.col("rep").alias(end), "n"), end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(_parts(F.col("n")) - 1, F.lit(0))))).drop("n")
-        met = spread.join(dealt.select(F.col("rep").alias(end), "part", F.col("key").alias("_m")), [end, "part"], "left")
-        return met.withColumn(f"{end}_key", F.coalesce("_m", end)).drop("part", "_m")
-
-    wide = carried(carried(pairs, "a"), "b").select(F.col("a_key").alias("x"), F.col("b_key").alias("y"), "overlap", "union")
-    every = F.explode(F.sequence(F.lit(0), _parts(F.col("n")) - 1))
-    left = dealt.select("rep", F.col("part").alias("i"), every.alias("j"), F.col("key").alias("x"), F.col("size").cast("long").alias("overlap"))
-    right = dealt.select("rep", F.col("part").alias("j"), every.alias("i"), F.col("key").alias("y"))
-    twins = left.join(right, ["rep", "i", "j"]).filter("x < y").select("x", "y", "overlap", F.col("overlap").alias("union"))
-    return wide.unionByName(twins).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "union").distinct()
+    """Pairs of representatives, carried over to the copies, and the pairs of copies themselves."""
+    members = member.select("rep", "key", "n")
+    sizes = member.groupBy("rep").agg(F.first("size").cast("long").alias("overlap"))
+    alike = twins(members, PART).join(sizes, "rep").select("a", "b", "overlap", F.col("overlap").alias("union"))
+    return carried(pairs, members, PART).unionByName(alike).distinct()
 
 
 def classes(sets: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.runtime import spread
+
 #: What may come next.
 START, VALUE, OP, KEY, END, HEAD, BODY = range(7)
 # START: a statement or an element may begin, or the enclosing delimiter may close.
@@ -710,7 +712,7 @@ def fault(path: str | None, text: str | None) -> str | None:
 
 
 def parse_faults(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(path, keep..., fault) of every judged file; fault is null where it parses. One pass, no shuffle."""
+    """(path, keep..., fault) of every judged file; fault is null where it parses. One pass over the texts."""
     wanted = files.select(path, *keep, text).filter(F.col(text).isNotNull() & F.lower(path).rlike(r"\.(py|js|ts|json|toml)$"))
     schema = ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in (path, *keep)) + ", fault string"
 
@@ -719,7 +721,7 @@ def parse_faults(files: DataFrame, path: str = "path", text: str = "text", keep:
             reasons = [fault(p, t) for p, t in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(reasons, pa.string())], names=[path, *keep, "fault"])
 
-    return wanted.mapInArrow(run, schema)
+    return spread(wanted).mapInArrow(run, schema)
 
 
 def broken_paths(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

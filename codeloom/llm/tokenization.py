@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from codeloom.runtime import spread
+
 #: Where the public vocabulary files lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 #: Characters taken at a time; the longest pre-token that is remembered; entries of a table of what is remembered.
@@ -261,4 +263,4 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, out])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return spread(docs.select(key, text)).mapInArrow(run, schema)
