@@ -200,7 +200,7 @@ def gra07_next_steps(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- lookups over the facts
 
 
-_NAME, _TESTED = "token", "__init__"
+_NAME = "token"
 
 
 @query(f"""WITH {_FACTS}, de AS (SELECT DISTINCT file, line FROM sy WHERE name = '{_NAME}' OR qualname = '{_NAME}' OR ends_with(qualname, '.{_NAME}')),
@@ -225,11 +225,20 @@ def cmd05_symbols_in(spark: SparkSession, d: str) -> DataFrame:
     return reports.symbols_in(P._symbols(spark, d).join(P._files(spark, d).withColumnRenamed("path", "file"), "file", "left_semi"))
 
 
-@query(f"""WITH {_FACTS}, ow AS (SELECT min(f.path) AS path FROM sy JOIN fi f ON f.path = sy.file WHERE sy.name = '{_TESTED}' OR sy.qualname = '{_TESTED}' OR ends_with(sy.qualname, '.{_TESTED}')),
+_WHOLE = "'(^|[^\\w$])' || (SELECT name FROM tn) || '($|[^\\w$])'"
+
+
+@query(f"""WITH {_FACTS}, tn AS (SELECT min(y.name) AS name FROM sy y JOIN fi f ON f.path = y.file WHERE f.kind = 'test' AND y.parent = '' AND regexp_matches(y.name, '^[A-Za-z_]+$')),
+ow AS (SELECT min(sy.file) AS path FROM sy, tn WHERE sy.name = tn.name OR sy.qualname = tn.name OR ends_with(sy.qualname, '.' || tn.name)),
 pj AS (SELECT coalesce(min(fi.project), '.') AS project FROM ow JOIN fi ON fi.path = ow.path), te AS (SELECT path FROM fi WHERE kind = 'test' AND project IN (FROM pj))
-SELECT path, count(*) AS mentions FROM (SELECT path, unnest({P._LINES}) AS row FROM {P._F}) WHERE path IN (FROM te) AND regexp_matches(row, '(^|[^\\w$]){_TESTED}($|[^\\w$])') GROUP BY path""")
+SELECT path, count(*) AS mentions FROM (SELECT path, unnest({P._LINES}) AS row FROM {P._F}) WHERE path IN (FROM te) AND regexp_matches(row, {_WHOLE}) GROUP BY path""")
 def join11_tests_for(spark: SparkSession, d: str) -> DataFrame:
-    return reports.tests_for_symbol(_homes(spark, d), P._symbols(spark, d), P._texts(spark, d), _TESTED)
+    """The tests of the first name that a test file defines."""
+    homes, symbols = _homes(spark, d), P._symbols(spark, d)
+    tests = homes.filter("kind = 'test'").select(F.col("path").alias("file"))
+    own = symbols.filter((F.coalesce("parent", F.lit("")) == "") & F.col("name").rlike("^[A-Za-z_]+$")).join(tests, "file", "left_semi")
+    name = own.agg(F.min("name").alias("name")).first()["name"]
+    return reports.tests_for_symbol(homes, symbols, P._texts(spark, d), name or "")
 
 
 @query(f"""WITH {_FACTS}, tg AS (SELECT resolved AS target FROM im GROUP BY resolved ORDER BY count(*) DESC, resolved LIMIT 1)
