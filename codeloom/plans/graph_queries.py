@@ -228,16 +228,16 @@ def cmd05_symbols_in(spark: SparkSession, d: str) -> DataFrame:
 _WHOLE = "'(^|[^\\w$])' || (SELECT name FROM tn) || '($|[^\\w$])'"
 
 
-@query(f"""WITH {_FACTS}, tn AS (SELECT min(y.name) AS name FROM sy y JOIN fi f ON f.path = y.file WHERE f.kind = 'test' AND y.parent = '' AND regexp_matches(y.name, '^[A-Za-z_]+$')),
+@query(f"""WITH {_FACTS}, tn AS (SELECT min(name) AS name FROM (SELECT y.name FROM sy y JOIN fi f ON f.path = y.file WHERE regexp_matches(y.name, '^[A-Za-z_]+$') GROUP BY y.name HAVING bool_and(coalesce(f.kind = 'test', false)))),
 ow AS (SELECT min(sy.file) AS path FROM sy, tn WHERE sy.name = tn.name OR sy.qualname = tn.name OR ends_with(sy.qualname, '.' || tn.name)),
 pj AS (SELECT coalesce(min(fi.project), '.') AS project FROM ow JOIN fi ON fi.path = ow.path), te AS (SELECT path FROM fi WHERE kind = 'test' AND project IN (FROM pj))
 SELECT path, count(*) AS mentions FROM (SELECT path, unnest({P._LINES}) AS row FROM {P._F}) WHERE path IN (FROM te) AND regexp_matches(row, {_WHOLE}) GROUP BY path""")
 def join11_tests_for(spark: SparkSession, d: str) -> DataFrame:
-    """The tests of the first name that a test file defines."""
+    """The tests of the first name that only test files define."""
     homes, symbols = _homes(spark, d), P._symbols(spark, d)
-    tests = homes.filter("kind = 'test'").select(F.col("path").alias("file"))
-    own = symbols.filter((F.coalesce("parent", F.lit("")) == "") & F.col("name").rlike("^[A-Za-z_]+$")).join(tests, "file", "left_semi")
-    name = own.agg(F.min("name").alias("name")).first()["name"]
+    test = homes.select(F.col("path").alias("file"), F.coalesce(F.col("kind") == "test", F.lit(False)).alias("test"))
+    own = symbols.filter(F.col("name").rlike("^[A-Za-z_]+$") & F.col("qualname").isNotNull()).join(test, "file").groupBy("name").agg(F.min("test").alias("test"))
+    name = own.filter("test").agg(F.min("name").alias("name")).first()["name"]
     return reports.tests_for_symbol(homes, symbols, P._texts(spark, d), name or "")
 
 
