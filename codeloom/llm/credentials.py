@@ -158,7 +158,7 @@ _PUBLIC = re.compile(r"(?i)(?:public|_id$|_file$|_path$|_url$|_name$|ref$|_hash$
 def plausible(value: str) -> bool:
     """Whether a value has the structure of a credential and is no placeholder, reference or digest."""
     value = value.strip()
-    if len(value) < 8 or _EMPTY.match(value) or _REFERENCE.search(value) or _DIGEST.match(value) or _PATH.match(value) or _UUID.match(value):
+    if len(value) < 8 or _EMPTY.match(value) or _REFERENCE.search(value) or _DIGEST.match(value) or _UUID.match(value) or _PATH.match(value) and not any(map(_packed, re.split(r"[/.]", value))):
         return False
     if " " in value:
         return False
@@ -172,6 +172,11 @@ def plausible(value: str) -> bool:
     return len(set(value)) >= 5
 
 
+def _packed(part: str) -> bool:
+    """Whether a part of what looks like a path is none: long, and capitals, small letters and digits in one."""
+    return len(part) >= 16 and any(c.isupper() for c in part) and any(c.islower() for c in part) and any(c.isdigit() for c in part)
+
+
 def _mixed(value: str) -> bool:
     """Whether capitals and small letters change as often as in random text."""
     changes = sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:]))

@@ -3,7 +3,9 @@
 The method: declarations are islands in a file. At each place where one may begin, its head is parsed
 by a generalised LL recogniser, which follows all readings of nested types and defaults at once; where
 no reading ends, tokens are skipped up to the next line, so a broken file loses only the function that
-is broken. The docstring, or the comment directly above, is taken whole. It is dropped if, without
+is broken. Bodies, where they are asked for, are parsed by the same recogniser: logical lines and their
+indentation in Python, brackets in scripts. Where a body breaks off or does not parse, the statements
+before the first that does not are its code. The docstring, or the comment directly above, is taken whole. It is dropped if, without
 directives, notes to self, stamps, rulers and tags, no words are left but those of the name and the
 parameters; and if the same description, with its own names left out, stands under very many different
 names in the corpus, which hash counts show.
@@ -47,6 +49,12 @@ HEADS: Grammar = {
     "result": ((), ("->", "type")),
     "script": (("params", "typed", "{"), ("params", "typed", "=>")),
     "typed": ((), (":", "type")),
+    # Bodies: L is a logical line, a row its end, IN and OUT its indentation; ? is a line that is none.
+    "suite": (("L", "row"), ("row", "IN", "rows", "OUT")),
+    "rows": (("statement",), ("rows", "statement")),
+    "statement": (("L", "row"), ("L", "row", "IN", "rows", "OUT")),
+    "line": (("word",), ("line", "word")),
+    "word": ((none_of(*_OPENERS),), ("group",)),
 }
 _TOKEN = re.compile(r"""[^\W\d][\w$]*|\d[\w.]*|->|=>|\.\.\.|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\#[^\n]*|//[^\n]*|/\*(?s:.*?)\*/|\n|[^\s\w]""")
 _PY_HEAD = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)[ \t]*(?=\()", re.M)
@@ -165,29 +173,95 @@ def _above(text: str, at: int) -> str:
     return "\n".join(rows[::-1]).strip()
 
 
-_BRACES = re.compile(r"""//[^\n]*|/\*(?s:.*?)\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\(?s:.))*`|[{}]""")
+_PARTS = re.compile(r"""(?P<row>\n)|(?P<void>[ \t\r\f]+|\\\r?\n|\#[^\n]*)|(?P<text>[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\\]|\\(?s:.))*?(?:\"\"\"|\Z)|\'\'\'(?:[^\\]|\\(?s:.))*?(?:\'\'\'|\Z)|"(?:[^"\\\n]|\\(?s:.))*"?|'(?:[^'\\\n]|\\(?s:.))*'?))|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<word>\w+|.)""", re.S)
+_BRACKETS = re.compile(r"""//[^\n]*|/\*(?s:.*?)\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\(?s:.))*`|([{}()\[\]])""")
+
+
+_EXPRESSION = re.compile(_BRACKETS.pattern.replace(r"([{}()\[\]])", r"([{}()\[\];\n])"))
 
 
 def _code(text: str, start: int, head: int, indent: int) -> str:
-    """The function's source: its block by indentation, or by braces where indent is below 0."""
-    if indent < 0:
-        if text[head - 1] != "{":
-            end = text.find("\n", head)
-            return text[start : end if end >= 0 else len(text)]
-        depth = 1
-        for m in _BRACES.finditer(text, head):
-            depth += {"{": 1, "}": -1}.get(m.group(), 0)
-            if not depth:
-                return text[start : m.end()]
-        return text[start:]
-    end = text.find("\n", head)
-    while 0 <= end < len(text):
-        stop = text.find("\n", end + 1)
-        row = text[end + 1 : stop if stop >= 0 else len(text)]
-        if row.strip() and len(row) - len(row.lstrip(" \t")) <= indent:
-            break
-        end = stop
-    return text[start : end if end >= 0 else len(text)].rstrip()
+    """The function's source: its block by indentation, or by brackets where indent is below 0."""
+    end = _script_end(text, head) if indent < 0 else _suite_end(text, head, indent)
+    return text[start:end].rstrip()
+
+
+def _script_end(text: str, head: int) -> int:
+    """Where the braces that open at the end of a head close; of a body without any, where its expression ends."""
+    if text[head - 1] != "{":
+        while head < len(text) and text[head].isspace():
+            head += 1
+        if not text.startswith("{", head):
+            depth = 0
+            for m in _EXPRESSION.finditer(text, head):
+                depth += (m[1] in ("(", "[", "{")) - (m[1] in (")", "]", "}")) if m[1] else 0
+                if depth < 0 or depth == 0 and m[1] in (";", "\n"):
+                    return m.start()
+            return len(text)
+        head += 1
+    signs, places, depth = ["{"], [head], 1
+    for m in _BRACKETS.finditer(text, head):
+        if m[1]:
+            signs.append(m[1])
+            places.append(m.end())
+            depth += 1 if m[1] in "{([" else -1
+            if depth <= 0:
+                break
+    ends = _ends("group", tuple(signs))
+    return places[max(ends) - 1] if ends else len(text)
+
+
+@lru_cache(maxsize=1 << 16)
+def _ends(rule: str, shape: tuple[str, ...]) -> frozenset[int]:
+    return frozenset(_recogniser.ends(rule, shape))
+
+
+def _suite_end(text: str, head: int, indent: int) -> int:
+    """Where the suite of a Python function ends whose head ends at a place."""
+    signs: list[str] = []
+    places: list[int] = []
+    levels, line, depth, fresh, last = [indent], [], 0, False, head
+
+    def put(sign: str, place: int) -> None:
+        signs.append(sign)
+        places.append(place)
+
+    for m in _PARTS.finditer(text, head):
+        kind = m.lastgroup
+        if kind == "row" and depth == 0:
+            if line or not signs:
+                if line:
+                    put("L" if len(line) in _ends("line", tuple(line)) else "?", last)
+                put("row", last)
+                line = []
+            fresh = True
+            continue
+        if kind in ("void", "row"):
+            continue
+        if fresh:
+            fresh, width = False, m.start() - text.rfind("\n", 0, m.start()) - 1
+            if width <= indent:
+                break
+            while width < levels[-1]:
+                levels.pop()
+                put("OUT", last)
+            if width > levels[-1]:
+                levels.append(width)
+                put("IN", last)
+        depth = max(0, depth + (kind == "open") - (kind == "close"))
+        line.append(m.group() if kind in ("open", "close") else "w")
+        last = m.end()
+    if line:  # the text broke off in a line
+        put("L" if len(line) in _ends("line", tuple(line)) else "?", last)
+        put("row", last)
+    if "?" in signs:
+        cut = signs.index("?")
+        del signs[cut:], places[cut:]
+    at = places[-1] if places else head
+    opened = signs.count("IN") - signs.count("OUT")
+    ends = _ends("suite", (*signs, *["OUT"] * opened))
+    places += [at] * opened
+    return places[max(ends) - 1] if ends else at
 
 
 # ---------------------------------------------------------------- what documentation says

@@ -231,3 +231,36 @@ def test_copies_are_told_by_rules_that_repositories_share(spark):
     found = {r["path"]: r["verdict"] for r in generated.not_hand_written(files).collect()}
     assert found == {**{f"{r}/src/lib.py": "vendored" for r in ("one", "two", "three")}, "one/vendor/alone.py": "vendored", "one/src/late.py": "vendored"}
     assert generated.not_hand_written(files.limit(0)).count() == 0
+
+
+def test_values_that_look_like_paths():
+    finder = credentials.Finder()
+    found = lambda line: bool(list(finder.spans(line)))
+    assert found("export SMTP_PASSWORD=/kZXrQMu76OllxAgIvOMWQQ8Ac3NNOHgzGtOjgkA") and found("token = 'a/b9Xq2LmZ81TrWv03Kc/Yp'")
+    assert not found("AUTH_TOKEN=/run/gateway/auth_token2") and not found("password: ./secrets/db/password1.txt")
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a.py", "def f(x,\n      y=(1, 2)):\n    '''Doc.'''\n    if x:\n        return [\n  y]\n\n    # end\n    return x\nz = 1\n", "def f(x,\n      y=(1, 2)):\n    '''Doc.'''\n    if x:\n        return [\n  y]\n\n    # end\n    return x"),
+        ("a.py", "def f(x): return x\ny = 1\n", "def f(x): return x"),
+        ("a.py", "class A:\n    def g(self):\n        s = '''\nnot code\n'''\n        return s\n    x = 1\n", "    def g(self):\n        s = '''\nnot code\n'''\n        return s"),
+        ("a.py", "def f():\n    a = 1\n    b = (2\n    c = 3\n", "def f():\n    a = 1"),
+        ("a.py", "def f():\n    if a:\n        b = 1\n        c = )\n", "def f():\n    if a:\n        b = 1"),
+        ("a.py", "def f():\n", "def f():"),
+        ("a.js", "function f(a) {\n  if (a) { return '}'; } // }\n  return `}${a}`;\n}\nlet x;\n", "function f(a) {\n  if (a) { return '}'; } // }\n  return `}${a}`;\n}"),
+        ("a.js", "const f = (a) => {\n  g([1, {b: 2}]);\n};\n", "const f = (a) => {\n  g([1, {b: 2}]);\n}"),
+        ("a.js", "function f(a) {\n  g(1;\n", "function f(a) {\n  g(1;"),
+    ],
+)
+def test_bodies_are_parsed_by_the_grammar(path, text, want):
+    assert [row[4] for row in function_docs.functions_of(path, text, code=True)][:1] == [want]
+
+
+def test_long_bodies_are_linear():
+    began = time.perf_counter()
+    for text in ("def f():\n" + "    a = b(c, [d])\n" * 20_000, "def f():\n    a = " + "(" * 20_000 + "\n", "def f():\n" + "".join(" " * (i + 1) + "if a:\n" for i in range(400))):
+        list(function_docs.functions_of("a.py", text, code=True))
+    list(function_docs.functions_of("a.js", "function f(a) {\n" + "g({}, [1]);\n" * 20_000 + "}\n", code=True))
+    assert time.perf_counter() - began < 20
