@@ -32,6 +32,13 @@ def identifier_lines(files: DataFrame, name: str, path: str = "path", text: str
     return rows.filter(F.col("row").contains(name) & F.col("row").rlike(rf"(?<![\w$]){re.escape(name)}(?![\w$])"))
 
 
+def lines_naming(files: DataFrame, names: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, line, name): lines that hold one of many identifiers whole, by one pass over the texts and one join. names: a column."""
+    rows = text_lines(files.filter(F.col(text).isNotNull()), path, text)
+    words = rows.select(path, "line", F.explode(F.array_distinct(F.regexp_extract_all("row", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
+    return words.join(names.select(F.col(names.columns[0]).alias("name")).distinct(), "name", "left_semi").select(path, "line", "name")
+
+
 def symbols_named(symbols: DataFrame, name: str) -> DataFrame:
     """Symbols by name, qualified name, or dotted end of it."""
     return symbols.filter((F.col("name") == name) | (F.col("qualname") == name) | F.col("qualname").endswith("." + name))

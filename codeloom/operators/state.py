@@ -102,6 +102,17 @@ def settled_gates(gates: DataFrame, digests: DataFrame, key: str, time: str, dig
     return met.groupBy(*gates.columns).agg(F.min("_t").alias("settled_at"))
 
 
+def fresh_records(records: DataFrame, current: DataFrame, key: str, signature: str) -> DataFrame:
+    """Records with ``fresh``: whether their signature is still that of their key; what has none now is not fresh."""
+    now = current.select(key, F.col(signature).alias("_now"))
+    return records.join(now, key, "left").withColumn("fresh", F.coalesce(F.col(signature) == F.col("_now"), F.lit(False))).drop("_now")
+
+
+def permissive(calls: DataFrame, decision: str = "decision", default: str = "allow") -> DataFrame:
+    """Calls that all have a decision: where none could be made the default, with ``audited`` saying so."""
+    return calls.withColumn("audited", F.col(decision).isNull()).withColumn(decision, F.coalesce(decision, F.lit(default)))
+
+
 def edit_decision(calls: DataFrame, trivial: int = 3) -> DataFrame:
     """Calls with their decision: allow, ask or deny.
 

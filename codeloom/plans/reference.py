@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as X
 from codeloom.operators import changes as C
 from codeloom.operators import components as G8
+from codeloom.operators import incremental as I
 from codeloom.operators import relational as R
 from codeloom.operators import similarity as S
 from codeloom.operators import state as ST
@@ -201,20 +202,28 @@ def join15_evidence_window(spark: SparkSession, d: str) -> DataFrame:
     return R.evidence_in_window(buys, past, "user_id", "ts", 45 * 60, "l", ["event_id"]).select("event_id", "evidence", "evidence_event_id")
 
 
-_SNAP = "(SELECT path, arg_max(sha1, mtime_ns) AS sha1 FROM (SELECT path, mtime_ns, max(sha1) AS sha1 FROM file_state WHERE run_id = {} AND sha1 IS NOT NULL GROUP BY path, mtime_ns) GROUP BY path)"
+_SNAP = """sn AS (SELECT run_id, path, arg_max(sha1, mtime_ns) AS sha1 FROM (SELECT run_id, path, mtime_ns, max(sha1) AS sha1 FROM file_state WHERE sha1 IS NOT NULL AND path IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ok AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS before FROM (SELECT DISTINCT run_id FROM index_runs WHERE status = 'ok')),
+ol AS (SELECT ok.run_id || ':' || path AS key, sha1 FROM sn JOIN ok ON ok.before = sn.run_id), nw AS (SELECT ok.run_id || ':' || path AS key, sha1 FROM sn JOIN ok ON ok.run_id = sn.run_id WHERE ok.before IS NOT NULL)"""
 
 
-def _snapshot(spark: SparkSession, d: str, run: int) -> DataFrame:
-    rows = table(spark, d, "file_state").filter((F.col("run_id") == run) & F.col("sha1").isNotNull())
-    return rows.groupBy("path").agg(F.max_by("sha1", F.struct("mtime_ns", "sha1")).alias("sha1"))
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(key, sha1) before and after each good run, keyed by run and path: every pair of runs at once."""
+    state = table(spark, d, "file_state").filter("sha1 is not null and path is not null")
+    seen = I.standing(state, ["run_id", "path"], ["sha1"], "mtime_ns")
+    pairs = I.good_runs(table(spark, d, "index_runs"))
+    of = lambda column: seen.join(pairs.withColumn("run_id", F.col(column)), "run_id").select(F.concat_ws(":", F.col("run").cast("string"), "path").alias("key"), "sha1")
+    return of("before"), of("run")
 
 
-_DRIFT = f"SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM {_SNAP.format(1)} a FULL JOIN {_SNAP.format(3)} b ON a.path = b.path WHERE a.sha1 IS DISTINCT FROM b.sha1"
+@query(f"WITH {_SNAP} SELECT coalesce(ol.key, nw.key) AS key, CASE WHEN ol.key IS NULL THEN 'added' WHEN nw.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ol FULL JOIN nw ON ol.key = nw.key WHERE ol.sha1 IS DISTINCT FROM nw.sha1")
+def join19_snapshot_drift(spark: SparkSession, d: str) -> DataFrame:
+    return R.drift(*_snapshots(spark, d), "key", "sha1")
 
 
-@query(_DRIFT)
-def join19_snapshot_drift(spark: SparkSession, d: str) -> DataFrame:
-    return R.drift(_snapshot(spark, d, 1), _snapshot(spark, d, 3), "path", "sha1")
+@query(f"WITH {_SNAP} SELECT key, 'new' AS change FROM nw WHERE key NOT IN (SELECT key FROM ol) UNION ALL SELECT key, 'removed' FROM ol WHERE key NOT IN (SELECT key FROM nw)")
+def set01_delta(spark: SparkSession, d: str) -> DataFrame:
+    return R.symbol_delta(*_snapshots(spark, d), ["key"]).select("key", "change")
 
 
 @query("SELECT DISTINCT b.file, b.qualname, b.base FROM bases b WHERE b.base IS NOT NULL AND b.base <> '' AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.name = b.base)")
@@ -355,11 +364,6 @@ def win10_next_id(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sets, changes, validation
 
 
-@query(f"SELECT path, 'new' AS change FROM {_SNAP.format(3)} WHERE path NOT IN (SELECT path FROM {_SNAP.format(1)}) UNION ALL SELECT path, 'removed' FROM {_SNAP.format(1)} WHERE path NOT IN (SELECT path FROM {_SNAP.format(3)})")
-def set01_delta(spark: SparkSession, d: str) -> DataFrame:
-    return R.symbol_delta(_snapshot(spark, d, 1), _snapshot(spark, d, 3), ["path"]).select("path", "change")
-
-
 @query("""SELECT month, added, removed, CASE WHEN added - removed >= 150 AND removed > 0 AND added >= 3.0 * removed THEN 'additive-heavy' WHEN added - removed >= 150 AND removed = 0 THEN 'only-additions' END AS growth,
  (added + removed > 0 AND small >= 0.2 * greatest(added, 1) AND small >= 5) AS churn FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) FILTER (o_orderstatus <> 'F') AS added, count(*) FILTER (o_orderstatus = 'F') AS removed, count(*) FILTER (o_totalprice < 20000) AS small FROM orders GROUP BY 1)""")
 def dif05_06_growth(spark: SparkSession, d: str) -> DataFrame:

@@ -100,6 +100,16 @@ def importers_in_project(homes: DataFrame, imports: DataFrame, target: str, kind
     return imports.filter(F.col("resolved") == target).join(near.select(F.col("path").alias("file")), "file", "left_semi").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("mentions"))
 
 
+def tests_for_file(homes: DataFrame, imports: DataFrame, symbols: DataFrame, texts: DataFrame, target: str) -> DataFrame:
+    """(path, mentions): test files of a file's project that import it or name one of its symbols."""
+    project = homes.filter(F.col("path") == target).select("project")
+    tests = _tests_of(homes, project)
+    names = symbols.filter(F.col("file") == target).select("name")
+    said = R.lines_naming(texts.join(tests, "path", "left_semi"), names).distinct().select("path")
+    taken = importers_in_project(homes, imports, target, "test")
+    return said.groupBy("path").agg(F.count("*").alias("mentions")).unionByName(taken).groupBy("path").agg(F.sum("mentions").alias("mentions"))
+
+
 def note_rules() -> list[tuple[Column, str]]:
     """The checks of a note: id, category, statement, status, created, updated, expires, superseded_by, evidence."""
     gone = lambda c: F.coalesce(c, F.lit("")) == ""
@@ -175,6 +185,33 @@ def contradictions(claims: DataFrame, records: DataFrame, key: str) -> DataFrame
     return met.select(key, "command", "claimed", hit["status"].alias("determined")).filter("determined is not null and determined <> claimed")
 
 
+def without_root(text: Column, root: str) -> Column:
+    """A text with ``<root>`` for the place of a workspace, so that it can be kept and compared elsewhere."""
+    return F.replace(F.replace(text, F.lit(root.replace("/", "\\")), F.lit("<root>")), F.lit(root), F.lit("<root>"))
+
+
+def scoped(rows: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Rows whose text names no file, or one below a prefix; what names only files elsewhere is left out."""
+    paths = X.mentioned_paths(F.coalesce(text, F.lit("")))
+    return rows.filter((F.size(paths) == 0) | F.exists(paths, lambda p: (p == prefix) | p.startswith(f"{prefix}/")))
+
+
+def record_rules(dimensions: tuple[str, ...], values: tuple[str, ...], tests: tuple[str, ...]) -> list[tuple[Column, str]]:
+    """The checks of an evidence record: test, model, date, prompt, scores (a map), observed (a map), final_verdict."""
+    rules = [(F.col(c).isNull(), f"missing {c}") for c in ("test", "model", "date", "prompt", "observed", "scores", "final_verdict")]
+    exact = F.coalesce(F.array_sort(F.map_keys("scores")) == F.array_sort(F.array(*map(F.lit, dimensions))), F.lit(False))
+    bad = F.exists(F.map_values("scores"), lambda v: ~F.coalesce(v.isin(*values), F.lit(False)))
+    rules += [
+        (~F.coalesce(F.col("test").isin(*tests), F.lit(False)), "unknown test"),
+        (~exact, "scores must contain exactly the dimensions"),
+        (exact & bad, "invalid score values"),
+        (~F.col("final_verdict").isin("", "PASS", "PARTIAL", "FAIL"), "final_verdict must be PASS, PARTIAL, FAIL or empty"),
+    ]
+    known = F.coalesce(F.map_keys("observed"), F.array().cast("array<string>"))
+    rules += [(~F.array_contains(known, k), f"observed.{k} missing") for k in ("files_touched", "lines_added", "lines_removed")]
+    return [*rules, (X.holds_secret(F.concat_ws(" ", "prompt", F.to_json("observed"))), "a record must not contain secrets")]
+
+
 def finding_counts(rows: DataFrame, kind: str = "kind") -> DataFrame:
     """(kind, findings): how many findings there are of each kind."""
     return rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("findings"))

@@ -3,11 +3,13 @@ import subprocess
 from pyspark.sql import functions as F
 
 from codeloom.operators import changes as C
+from codeloom.operators import relational as R
 from codeloom.operators import state as ST
 from codeloom.plans import reports as P
 from codeloom.sources import bodies as B
 from codeloom.sources import index_store as I
 from codeloom.sources import repository as S
+from codeloom.sources import state_store as T
 
 PY = "import os\n\n\ndef load(path, mode):\n    return read(path, mode)\n\n\ndef check(x, strict):\n    if strict:\n        verify(x)\n    save(x)  # TODO: later\n    return 'TODO'\n"
 
@@ -113,3 +115,61 @@ def test_contradictions_skills_and_verdicts(spark):
     assert P.context({"brief": made.select("rank", "item"), "skills": made.select("rank", "item")}).groupBy("part").count().collect().__len__() == 2
     scope = spark.createDataFrame([("source", "M", "p"), ("docs", "M", "."), ("script", "D", ".")], "kind string, status string, project string")
     assert C.project_scope(scope).first()[0] == ["p"] and C.project_scope(scope.withColumn("project", F.lit("."))).first()[0] == []
+
+
+def test_keyed_state_survives_a_save_that_died(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    table = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    assert T.load_state(spark, folder) is None
+    T.save_state(table([("a", 1), ("b", 2)]), folder, ["k"])
+    T.save_state(table([("b", 3), ("c", 4)]), folder, ["k"])
+    (tmp_path / "state" / "generation=9").mkdir()
+    assert sorted(map(tuple, T.load_state(spark, folder).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    calls = spark.createDataFrame([(1, "deny"), (2, None)], "i int, decision string")
+    assert [tuple(r) for r in ST.permissive(calls).orderBy("i").collect()] == [(1, "deny", False), (2, "allow", True)]
+
+
+def test_evidence_records(spark):
+    schema = "test string, model string, date string, prompt string, observed map<string,string>, scores map<string,string>, final_verdict string"
+    seen = {"files_touched": "1", "lines_added": "2", "lines_removed": "0"}
+    rows = [("t1", "m", "d", "p", seen, {"a": "PASS", "b": "FAIL"}, "PASS"), ("t9", None, "d", "p", {}, {"a": "PASS"}, "MAYBE"), ("t1", "m", "d", "sk-" + "a" * 30, seen, {"a": "GOOD", "b": None}, ""), (None,) * 7]
+    rules = P.record_rules(("a", "b"), ("PASS", "PARTIAL", "FAIL"), ("t1",))
+    got = [r["e"] for r in spark.createDataFrame(rows, schema).select(R.rule_errors(rules).alias("e")).collect()]
+    assert got[0] == [] and set(got[1]) == {"missing model", "unknown test", "scores must contain exactly the dimensions", "final_verdict must be PASS, PARTIAL, FAIL or empty", "observed.files_touched missing", "observed.lines_added missing", "observed.lines_removed missing"}
+    assert got[2] == ["invalid score values", "a record must not contain secrets"] and "missing scores" in got[3]
+    text = spark.createDataFrame([("see /w/x/a.py and \\\\w\\\\x",)], "t string").select(P.without_root(F.col("t"), "/w/x").alias("t")).first()["t"]
+    assert text.startswith("see <root>/a.py")
+
+
+def test_the_command_line(spark, capsys):
+    from codeloom.__main__ import main
+
+    assert main([]) == 0 and "p1_found" in capsys.readouterr().out and main(["nothing"]) == 2
+
+
+def test_configuration_walk_and_digests(spark, tmp_path):
+    root = tmp_path / "r"
+    for path in ("keep/a.py", "node_modules/x.js", "own/b.py", "own/c.tmp", "z.pyc", "data/deep/d.py"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(path)
+    assert S.load_config(str(root)) == S.Config() and list(S.walk(str(root), S.Config())) == ["data/deep/d.py", "keep/a.py", "own/b.py", "own/c.tmp"]
+    (root / "codeloom.toml").write_text('exclude_globs = ["*.tmp", "data/*/"]\nextra_exclude_dirs = ["keep"]\n')
+    config = S.load_config(str(root))
+    assert config.exclude_globs == ("*.tmp", "data/*/") and "keep" in config.exclude_dirs and "node_modules" in config.exclude_dirs
+    assert list(S.walk(str(root), config)) == ["codeloom.toml", "z.pyc", "own/b.py"]
+    digests = {r["path"].rpartition("/")[2]: r["sha256"] for r in S.content_map(spark, str(root / "own")).collect()}
+    assert set(digests) == {"b.py", "c.tmp"} and all(len(v) == 64 for v in digests.values())
+    assert S.git_lines(str(tmp_path), "rev-parse", "HEAD") == []
+
+
+def test_a_log_is_trimmed_to_its_newest(spark):
+    log = spark.range(30).select(F.col("id").alias("t"))
+    assert ST.trimmed_log(log, ["t"], limit=40, keep=5).count() == 30
+    assert sorted(r["t"] for r in ST.trimmed_log(log, ["t"], limit=20, keep=5).collect()) == [25, 26, 27, 28, 29]
+    assert ST.trimmed_log(log.limit(0), ["t"]).count() == 0
+
+
+def test_settled_gates(spark):
+    gates = spark.createDataFrame([("a", 1, "x"), ("b", 5, "x"), ("c", 1, "x")], "f string, t int, d string")
+    seen = spark.createDataFrame([("a", 1, "y"), ("a", 2, "x"), ("a", 4, "z"), ("a", 3, "y"), ("b", 4, "y")], "f string, t int, d string")
+    assert {r["f"]: r["settled_at"] for r in ST.settled_gates(gates, seen, "f", "t", "d").collect()} == {"a": 3, "b": None, "c": None}

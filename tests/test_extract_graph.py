@@ -59,3 +59,54 @@ def test_self_methods_are_followed_up_any_number_of_bases(spark):
     bases = spark.createDataFrame([*[("f", f"C{i}", f"m.C{i - 1}") for i in range(1, 12)], ("f", "D1", "D2"), ("f", "D2", "D1")], "file string, qualname string, base string")
     got = {(r["ask"], r["dst"], r["confidence"]) for r in G._self_targets(asks, goal, bases, ["ask", "own"]).collect()}
     assert got == {(1, "C0.run", "exact"), (2, "C0.run", "inferred"), (2, "Z.run", "inferred"), (3, "Z.stop", "inferred")}
+
+
+def build(spark, files, symbols, imports=(), uses=(), bases=(), texts=(), status=None):
+    f = spark.createDataFrame(files, "path string, file_seq long, kind string, root string, project string")
+    s = spark.createDataFrame(symbols, "file string, sym_seq int, name string, kind string, line int, qualname string, parent string, confidence string")
+    i = spark.createDataFrame(list(imports), "file string, import_seq int, resolved string, bindings array<struct<name:string,alias:string>>, line int, confidence string")
+    u = spark.createDataFrame(list(uses), "file string, use_seq int, use_kind string, name string, line int, scope string, receiver string")
+    b = spark.createDataFrame(list(bases), "file string, base_seq int, qualname string, base string, line int, relation string")
+    t = spark.createDataFrame(list(texts), "path string, kind string, text string")
+    st = spark.createDataFrame(status or [(x[0], "confirmed", "") for x in files], "file string, confidence string, error string")
+    return G.build_edges(f, f.select("root"), st, s, i, u, b, t)
+
+
+def test_edges_stand_in_the_order_of_files_and_places_and_are_unique(spark):
+    files = [("z.py", 1, "source", "r", "r"), ("a.py", 2, "test", "r", "r")]
+    symbols = [("z.py", 0, "f", "function", 1, "f", "", "confirmed"), ("z.py", 1, "g", "function", 9, "g", None, "confirmed"), ("a.py", 0, "t", "function", 1, "t", "", "confirmed")]
+    uses = [("a.py", 5, "call", "g", 3, "t", ""), ("a.py", 2, "call", "f", 8, "t", ""), ("z.py", 7, "call", "g", 2, "f", ""), ("a.py", 6, "reference", "f", 8, "t", ""), ("a.py", 9, "reference", "g", 4, "", "")]
+    edges = build(spark, files, symbols, uses=uses, imports=[("a.py", 0, "z.py", [], 1, "confirmed")])
+    rows = edges.orderBy("edge_seq").collect()
+    assert len({r["edge_seq"] for r in rows}) == len(rows)
+    f, g, t, a = "sym:z.py::f", "sym:z.py::g", "sym:a.py::t", "file:a.py"
+    assert [(r["src"], r["dst"], r["kind"]) for r in rows] == [("file:z.py", f, "defines"), ("file:z.py", g, "defines"), (f, g, "calls"), (a, t, "defines"), (a, "file:z.py", "imports"), (a, "file:z.py", "tests"), (t, f, "calls"), (a, f, "tests"), (t, g, "calls"), (a, g, "tests"), (a, g, "references"), (a, g, "tests")]
+    # Breadth first, each node is claimed by its first edge: f calls g before t does.
+    assert [(r["node"], r["depth"], r["rank"]) for r in G.walk(edges, g, 2, True, ("calls",)).orderBy("depth", "rank").collect()] == [(f, 1, 1), (t, 1, 2)]
+
+
+def test_names_are_looked_for_within_one_root(spark):
+    files = [(f"{r}/{n}.py", i, "source", r, r) for r in ("r", "s") for i, n in enumerate("ab")]
+    symbols = [(f"{r}/b.py", 0, "helper", "function", 1, "helper", "", "confirmed") for r in ("r", "s")] + [(f"{r}/b.py", 1, "run", "method", 2, "C.run", "C", "confirmed") for r in ("r", "s")]
+    uses = [("r/a.py", 0, "call", "helper", 1, "", ""), ("r/a.py", 1, "call", "run", 2, "", "thing"), ("s/b.py", 0, "call", "helper", 3, "", "")]
+    got = {(r["src"], r["dst"], r["confidence"]) for r in build(spark, files, symbols, uses=uses).filter("kind = 'calls'").collect()}
+    assert got == {("file:r/a.py", "sym:r/b.py::helper", "inferred"), ("file:r/a.py", "sym:r/b.py::C.run", "inferred"), ("file:s/b.py", "sym:s/b.py::helper", "confirmed")}
+
+
+def test_the_last_import_of_a_name_decides(spark):
+    files = [(p, i, "source", "r", "r") for i, p in enumerate(("m.py", "n.py", "x.py"))]
+    symbols = [(p, 0, "f", "function", 1, "f", "", "confirmed") for p in ("m.py", "n.py")]
+    imports = [("x.py", 0, "m.py", [("f", "f")], 1, "confirmed"), ("x.py", 1, "n.py", [("f", "f"), ("gone", "f2")], 2, "confirmed"), ("x.py", 2, "m.py", [("gone", "f")], 3, "confirmed")]
+    edges = build(spark, files, symbols, imports=imports, uses=[("x.py", 0, "call", "f", 5, "", "")])
+    assert [r["dst"] for r in edges.filter("kind = 'calls'").collect()] == ["sym:n.py::f"]
+
+
+def test_long_configuration_dirty_facts_and_empty_tables(spark):
+    text = "x: 1\n" * 200_000 + "handler: app.worker_pool\nworker_pool: 2\nodd: elsewhere.worker_pool\n"
+    files = [("app/a.py", 1, "source", "r", "r"), ("conf.yaml", 2, "config", "r", "r"), ("bad.py", 3, "source", "r", "r"), ("nul.yaml", 4, "config", "r", "r")]
+    symbols = [("app/a.py", 0, "worker_pool", "function", 1, "worker_pool", "", "confirmed"), ("gone.py", 0, "x", "function", 1, "x", "", "confirmed"), ("bad.py", 0, "y", "function", None, "y", "", "confirmed"), (None, 0, "z", "function", 1, "z", "", "confirmed")]
+    edges = build(spark, files, symbols, texts=[("conf.yaml", "config", text), ("nul.yaml", "config", None)], bases=[("app/a.py", 0, "Q", None, 1, None), ("app/a.py", 1, "Q", "worker_pool", None, None)], status=[("app/a.py", "confirmed", ""), ("app/a.py", "confirmed", ""), ("bad.py", "unknown", "broken")])
+    got = {(r["kind"], r["src"], r["dst"], r["note"], r["line"]) for r in edges.collect()}
+    node = "sym:app/a.py::worker_pool"
+    assert got == {("defines", "file:app/a.py", node, "", 1), ("configures", "file:conf.yaml", node, "app.worker_pool", 200_001), ("configures", "file:conf.yaml", node, "worker_pool", 200_002), ("extends", "file:app/a.py", node, "", None)}
+    assert build(spark, [], [], status=[("x", "confirmed", "")]).count() == 0 and G.walk(edges.limit(0), node, 2).count() == 0
