@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.runtime import checkpoint
+
 
 def standing(records: DataFrame, keys: list[str], version: list[str], order: str) -> DataFrame:
     """Of each key the one row that stands: (keys, version)."""
@@ -52,16 +54,17 @@ def changed_since_last_good(records: DataFrame, runs: DataFrame, run: str, key:
     Returns distinct (run, key). ``required`` names the version column whose nulls void a row. With ``clock``, the time at
     which a record was written, a run reads from its low-water mark on.
     """
-    pairs = low_water_marks(runs, run) if clock else good_runs(runs, run).withColumn("open_from", F.lit(None))
+    pairs = checkpoint(low_water_marks(runs, run)) if clock else good_runs(runs, run)  # a row a run, used four times
     rows = records.filter(F.col(required).isNotNull() & F.col(key).isNotNull())
     wanted = pairs.select("run").unionByName(pairs.select(F.col("before").alias("run"))).distinct()
     rows = rows.join(wanted.withColumnRenamed("run", run), run, "left_semi")
-    committed = standing(rows, [run, key], version, order)
     if clock:
-        marks = pairs.select(F.col("run").alias(run), "open_from")
-        rows = rows.join(marks, run).filter(F.col("open_from").isNull() | F.col(clock).isNull() | (F.col(clock) >= F.col("open_from")))
-    reread = standing(rows, [run, key], version, order).join(pairs.select(F.col("run").alias(run)), run, "left_semi")
-    ledger = committed.join(pairs.select("run", F.col("before").alias(run)), run).drop(run).withColumnRenamed("run", run)
+        rows = rows.join(pairs.select(F.col("run").alias(run), "open_from"), run, "left")
+        rows = rows.filter(F.col("open_from").isNull() | F.col(clock).isNull() | (F.col(clock) >= F.col("open_from")))
+    # What a run has read is what it commits; one pass gives both, for the run itself and as the ledger of the next.
+    seen = standing(rows, [run, key], version, order)
+    reread = seen.join(pairs.select(F.col("run").alias(run)), run)
+    ledger = seen.join(pairs.select("run", F.col("before").alias(run)), run).drop(run).withColumnRenamed("run", run)
     return without_processed(reread, ledger, [run, key], version).select(run, key)
 
 
