@@ -164,10 +164,10 @@ def not_hand_written(files: DataFrame, path: str = "path", root: str = "root", t
     """Distinct (path, verdict) of the files that nobody wrote by hand for their repository."""
     judged = checkpoint(judged_files(files, path, root, text))
     found = judged.filter("verdict is not null").select("path", "verdict")
-    rules = judged.filter("verdict is null").select("path", "root", "copied", F.explode("rules").alias("rule"))
+    rules = judged.filter("verdict is null").select("path", "root", "copied", F.size("rules").alias("n"), F.explode("rules").alias("rule"))
     # Rules are counted by repository before they meet, so a rule of very many files is one row.
     shared = rules.groupBy("rule", "root").agg(F.max("copied").alias("copied")).groupBy("rule").agg(F.count("root").alias("roots"), F.max("copied").alias("known")).filter("roots >= 2")
-    met = rules.join(shared.select("rule", "known"), "rule", "left").groupBy("path").agg(F.avg(F.when(F.col("known").isNull(), 0).otherwise(1)).alias("share"), F.avg(F.when(F.col("known"), 1).otherwise(0)).alias("known"), F.count("*").alias("n"))
+    met = rules.join(shared.select("rule", "known"), "rule", "left").groupBy("path").agg(F.avg(F.when(F.col("known").isNull(), 0).otherwise(1)).alias("share"), F.avg(F.when(F.col("known"), 1).otherwise(0)).alias("known"), F.max("n").alias("n"))
     alike = met.filter((F.col("share") >= SHARED) & (F.col("n") >= LEAST_RULES) | (F.col("known") >= KNOWN) & (F.col("n") >= LEAST_KNOWN)).select("path")
     more = alike.unionByName(judged.filter("copied").select("path")).distinct().select("path", F.lit("vendored").alias("verdict"))
     return found.unionByName(more).withColumnRenamed("path", path).distinct()
