@@ -266,7 +266,7 @@ def _suite_end(text: str, head: int, indent: int) -> int:
 
 # ---------------------------------------------------------------- what documentation says
 
-_DIRECTIVE = re.compile(r"(?i)^\s*(?:noqa\b|pragma\b|pylint\s*:|type\s*:\s*ignore|mypy\s*:|ruff\s*:|flake8\s*:|fmt\s*:|isort\s*:|yapf\s*:|nosec\b|eslint\b|eslint-\w+|tslint\s*:|@ts-\w+|ts-ignore|prettier-ignore|istanbul\b|c8\s+ignore|v8\s+ignore|jshint\b|jslint\b|global\s|webpack\w+|sourceMappingURL|biome-ignore|@(?:private|public|protected|internal|override|inheritdoc|ignore|hidden|deprecated|async|static|abstract|readonly)\s*$)")
+_DIRECTIVE = re.compile(r"(?i)^\s*(?:noqa\b|pragma\b|pylint\s*:|type\s*:\s*ignore|mypy\s*:|ruff\s*:|flake8\s*:|fmt\s*:|isort\s*:|yapf\s*:|nosec\b|eslint\b|eslint-\w+|tslint\s*:|@ts-\w+|ts-ignore|prettier-ignore|istanbul\b|c8\s+ignore|v8\s+ignore|jshint\b|jslint\b|globals?\s+[\w$]+(?:\s*[:,]\s*[\w$]+)*\s*$|webpack\w+|sourceMappingURL|biome-ignore|@(?:private|public|protected|internal|override|inheritdoc|ignore|hidden|deprecated|async|static|abstract|readonly)\s*$)")
 _NOTE = re.compile(r"(?i)^\s*(?:todo|fixme|xxx|hack|tbd|wip|note to self|nb)\b.*$")
 _STAMP = re.compile(r"(?i)^\s*(?:@?(?:created|modified|updated|changed|generated|author|authors|since|version|date|copyright|license|last\s+(?:modified|updated|changed|edited)|added|written)\b\s*(?:\(c\)|by|on|in|at|:)?\s*[\w.,:/@<>() -]{0,60}\d{4}[-/.]?[\d/.:-]*\S*|@(?:author|since|version|copyright|license|date)\b.*|author\s*:.*|\$\w+[^$]*\$)\s*\.?$")
 _RULER = re.compile(r"^[\W_]*$")

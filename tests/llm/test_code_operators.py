@@ -264,3 +264,8 @@ def test_long_bodies_are_linear():
         list(function_docs.functions_of("a.py", text, code=True))
     list(function_docs.functions_of("a.js", "function f(a) {\n" + "g({}, [1]);\n" * 20_000 + "}\n", code=True))
     assert time.perf_counter() - began < 20
+
+
+def test_a_sentence_is_no_directive():
+    assert function_docs.telling("Global queues are warm; shallow plugins are not, and that records the buffer.", "narrow", [])
+    assert not function_docs.telling("global window, document: true", "narrow", []) and not function_docs.telling("eslint-disable-next-line", "narrow", [])
