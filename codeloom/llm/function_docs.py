@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.grammar import Grammar, Recogniser, none_of
-from codeloom.runtime import spread
+from codeloom.runtime import checkpoint, spread
 
 #: A description under at least so many different names is a template.
 TEMPLATE_NAMES = 40
@@ -339,7 +339,8 @@ def without_templates(functions: DataFrame, names: int = TEMPLATE_NAMES) -> Data
 
 def function_pairs(symbols: DataFrame, files: DataFrame, code: bool = False) -> DataFrame:
     """(sym_seq, qualname, signature, doc, code): functions and methods with telling documentation."""
-    told = without_templates(documented_functions(files, code=code).filter("telling"))
+    # Parsed once and written: the templates are counted and taken out over what was written.
+    told = without_templates(checkpoint(documented_functions(files, code=code).filter("telling")))
     wanted = symbols.filter(F.col("kind").isin("function", "method")).select("sym_seq", "file", "line", "name", "qualname", "signature").dropna(subset=["sym_seq", "file", "line", "name"]).dropDuplicates(["sym_seq"])
     at = told.select(F.col("path").alias("file"), "line", "name", *(["doc", "code"] if code else [])).dropDuplicates(["file", "line", "name"])
     return wanted.join(at, ["file", "line", "name"]).select("sym_seq", "qualname", "signature", *(["doc", "code"] if code else []))
