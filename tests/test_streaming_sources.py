@@ -78,3 +78,24 @@ def test_reconcile(spark):
     claims = docs.select("k", X.model_claims(F.col("text")).alias("c")).select("k", "c.*")
     records = spark.createDataFrame([(1, True, True, "not verified")], "k int, ran boolean, fresh boolean, verdict string")
     assert {r["k"]: r["status"] for r in P.reconciled(claims, records, "k").collect()} == {1: "NOT VERIFIED", 2: "UNVERIFIED CLAIM", 3: "NO VERIFICATION"}
+
+
+def test_stream_evidence_and_once(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda m: datetime(2025, 1, 1) + timedelta(minutes=m)
+
+    def source(name, rows, schema):
+        folder = str(tmp_path / name)
+        for i, row in enumerate(rows):  # a file a row, so that watermarks move
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    edits = [("u", at(50), 1), ("u", at(100), 2), ("v", at(10), 3), ("v", at(400), 4), ("v", at(900), 5)]
+    activity = [("u", at(5), "a"), ("u", at(4), "b"), ("u", at(60), "c"), ("w", at(10), "d"), ("v", at(399), "e"), ("v", at(901), "f")]
+    met = V.evidence_join(source("edits", edits, "k string, t timestamp, n int"), source("activity", activity, "k string, t timestamp, c string"), "k", "t")
+    got = {(r["n"], r["activity_c"]) for r in drain(spark, met, "evidence").collect()}
+    # Both ends of the 45 minutes count; what stays without evidence comes out once the watermark has passed it.
+    assert {(1, "a"), (2, "c"), (4, "e")} <= got and not {(1, "b"), (1, "c"), (5, "f")} & got and (3, None) in got
+    first = V.once(source("events", [("u", at(0)), ("u", at(1)), ("v", at(2)), ("u", at(40))], "k string, t timestamp"), "k", "t")
+    assert sorted(r["k"] for r in drain(spark, first, "first").collect()) == ["u", "v"]
