@@ -19,6 +19,9 @@ from codeloom.sources.python_code import Facts
 
 EXTRACTORS: dict[str, Callable[[str], Facts]] = {"python": python_code.facts, "javascript": script_code.facts, "typescript": script_code.facts}
 
+#: Files whose facts are held at once.
+SLICE = 128
+
 _S, _I, _B = pa.string(), pa.int32(), pa.bool_()
 _PARTS = {
     "symbols": pa.struct([("name", _S), ("kind", _S), ("line", _I), ("qualname", _S), ("end_line", _I), ("parent", _S), ("signature", _S), ("exported", _B), ("doc", _S)]),
@@ -39,15 +42,17 @@ def extract(files: DataFrame, path: str = "path", language: str = "language", te
     """One row a file: its status and its facts as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, languages, texts = (batch.column(i).to_pylist() for i in range(3))
-            got = []
-            for lang, source in zip(languages, texts):
-                extractor = EXTRACTORS.get(lang or "")
-                got.append(extractor(source or "") if extractor else Facts(confidence="unknown", error=""))
-            columns = [pa.array(paths, _S), pa.array(languages, _S), pa.array([g.confidence for g in got], _S), pa.array([g.error for g in got], _S), pa.array([g.exports for g in got], pa.list_(_S))]
-            columns += [pa.array([getattr(g, name) for g in got], pa.list_(kind)) for name, kind in _PARTS.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=["file", "language", "confidence", "error", "exports", *_PARTS])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                paths, languages, texts = (batch.column(i).to_pylist() for i in range(3))
+                got = []
+                for lang, source in zip(languages, texts):
+                    extractor = EXTRACTORS.get(lang or "")
+                    got.append(extractor(source or "") if extractor else Facts(confidence="unknown", error=""))
+                columns = [pa.array(paths, _S), pa.array(languages, _S), pa.array([g.confidence for g in got], _S), pa.array([g.error for g in got], _S), pa.array([g.exports for g in got], pa.list_(_S))]
+                columns += [pa.array([getattr(g, name) for g in got], pa.list_(kind)) for name, kind in _PARTS.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "language", "confidence", "error", "exports", *_PARTS])
 
     return spread(files.select(F.col(path), F.col(language), F.col(text))).mapInArrow(run, _SCHEMA)
 
